@@ -98,14 +98,20 @@ def floor_mod(a, b) -> Column:
 
 
 def word_count(c) -> Column:
-    """Whitespace word count where an empty or blank string has 0 words."""
-    t = F.trim(col_(c))
-    return F.when(t.isNull(), None).when(t == "", 0).otherwise(F.size(F.split(t, r"\s+")))
+    """Whitespace-separated word count (like Python ``str.split()``): blank text has 0 words."""
+    return F.regexp_count(col_(c), F.lit(r"\S+"))
 
 
-def r4(c) -> Column:
-    return F.round(col_(c), 4)
+def rnd(c, digits: int = 4) -> Column:
+    """Round half away from zero on the scaled binary value: round(x * 10^d) / 10^d.
+
+    Spark's ``round`` rounds the shortest decimal text of x, which differs from
+    rounding the binary value when that text ends in a tie digit; scaling first
+    makes every engine that computes in IEEE doubles agree.
+    """
+    m = float(10 ** digits)
+    return F.round(col_(c).cast("double") * F.lit(m), 0) / F.lit(m)
 
 
 def pct(num, den, digits: int = 2) -> Column:
-    return F.round(F.try_divide(col_(num) * F.lit(100.0), col_(den)), digits)
+    return rnd(F.try_divide(col_(num) * F.lit(100.0), col_(den)), digits)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.topk import top_k_per_group
-from ..functions.stats import (
+from ..functions.stats import (rnd, 
     as_double, dtype_group, is_numeric_type, numeric_columns, sample_skew, string_columns,
 )
 
@@ -128,7 +128,7 @@ def column_completeness(df: DataFrame, cols: list[str] | None = None) -> DataFra
     total = F.count(F.lit(1))
     out = long_agg(df, {c: {"non_null": F.count(F.col(c)), "total": total} for c in cols})
     return out.select("column_name", "non_null", (F.col("total") - F.col("non_null")).alias("nulls"),
-                      F.round(F.try_divide((F.col("total") - F.col("non_null")) * 100.0, F.col("total")), 2)
+                      rnd(F.try_divide((F.col("total") - F.col("non_null")) * 100.0, F.col("total")), 2)
                       .alias("null_pct"))
 
 
@@ -163,8 +163,8 @@ def profile_columns(df: DataFrame, top_k: int = 5) -> DataFrame:
            .select("column_name", F.transform("t", lambda s: s["value"]).alias("top_values")))
     return (base.join(nd, "column_name", "left").join(top, "column_name", "left")
             .select("column_name",
-                    F.round(F.try_divide((F.col("total") - F.col("non_null")) * 100.0, F.col("total")), 2).alias("null_pct"),
+                    rnd(F.try_divide((F.col("total") - F.col("non_null")) * 100.0, F.col("total")), 2).alias("null_pct"),
                     F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"),
-                    F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
-                    F.round("min", 4).alias("min"), F.round("max", 4).alias("max"),
-                    F.round("skew", 4).alias("skew"), F.array_join("top_values", "|").alias("top_values")))
+                    rnd("mean", 4).alias("mean"), rnd("std", 4).alias("std"),
+                    rnd("min", 4).alias("min"), rnd("max", 4).alias("max"),
+                    rnd("skew", 4).alias("skew"), F.array_join("top_values", "|").alias("top_values")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.stats import as_double, numeric_columns, safe_corr, string_columns
+from ..functions.stats import rnd, as_double, numeric_columns, safe_corr, string_columns
 from .profile import distinct_counts, long_agg
 
 ISSUE_SCHEMA = "issue_type string, column_name string, severity string, count long, pct double"
@@ -66,7 +66,7 @@ def quality_missing(df: DataFrame) -> DataFrame:
     out = long_agg(df, {c: {"missing_count": F.count_if(F.col(c).isNull()), "total": total} for c in df.columns})
     return (out.where(F.col("missing_count") > 0)
             .select("column_name", F.col("missing_count").cast("long").alias("missing_count"),
-                    F.round(F.try_divide(F.col("missing_count") * 100.0, F.col("total")), 2).alias("missing_pct")))
+                    rnd(F.try_divide(F.col("missing_count") * 100.0, F.col("total")), 2).alias("missing_pct")))
 
 
 def quality_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def quality_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFr
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_count"),
-        F.round(F.coalesce(F.try_divide(F.sum(F.col("n") - 1) * 100.0, F.sum("n")), F.lit(0.0)), 2)
+        rnd(F.coalesce(F.try_divide(F.sum(F.col("n") - 1) * 100.0, F.sum("n")), F.lit(0.0)), 2)
         .alias("duplicate_pct"))
 
 
@@ -97,8 +97,8 @@ def quality_outliers(df: DataFrame, cols: list[str] | None = None,
     out = long_agg(df, spec)
     return (out.where(F.col("outlier_count") > 0)
             .select("column_name", F.col("outlier_count").cast("long").alias("outlier_count"),
-                    F.round(F.try_divide(F.col("outlier_count") * 100.0, F.col("total")), 2).alias("outlier_pct"),
-                    F.round("lower_bound", 4).alias("lower_bound"), F.round("upper_bound", 4).alias("upper_bound")))
+                    rnd(F.try_divide(F.col("outlier_count") * 100.0, F.col("total")), 2).alias("outlier_pct"),
+                    rnd("lower_bound", 4).alias("lower_bound"), rnd("upper_bound", 4).alias("upper_bound")))
 
 
 def quality_class_imbalance(df: DataFrame, target: str,
@@ -131,7 +131,7 @@ def corr_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def quality_high_corr(df: DataFrame, threshold: float = CONFIG.high_correlation) -> DataFrame:
     """Q9: pairs with |r| >= threshold, |r| rounded to 4."""
     return (corr_pairs(df).where(F.abs("correlation") >= threshold)
-            .select("col_a", "col_b", F.round(F.abs("correlation"), 4).alias("correlation")))
+            .select("col_a", "col_b", rnd(F.abs("correlation"), 4).alias("correlation")))
 
 
 def quality_dtype_issues(df: DataFrame, order_by: list[str] | None = None, head: int = 50,
@@ -153,7 +153,7 @@ def quality_dtype_issues(df: DataFrame, order_by: list[str] | None = None, head:
         "column_name", (F.col("parsed") / F.col("non_null")).alias("share"))
     numeric_issue = num.where(F.col("share") > parse_share).select(
         "column_name", F.lit("Likely numeric stored as string").alias("issue"),
-        F.round(F.col("share") * 100.0, 1).alias("parseable_pct"))
+        rnd(F.col("share") * 100.0, 1).alias("parseable_pct"))
     date_parts = []
     for c in cols:
         vals = df.where(F.col(c).isNotNull())
@@ -253,7 +253,7 @@ def missing_overall(df: DataFrame) -> DataFrame:
     miss = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
     return df.agg(miss.cast("long").alias("missing_cells"), F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows", "missing_cells", (F.col("n_rows") * n_cols).alias("total_cells"),
-        F.round(F.try_divide(F.col("missing_cells") * 100.0, F.col("n_rows") * n_cols), 2).alias("missing_pct"))
+        rnd(F.try_divide(F.col("missing_cells") * 100.0, F.col("n_rows") * n_cols), 2).alias("missing_pct"))
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -261,7 +261,7 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
     counts = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
     mx, mn, tot = counts.agg(F.max("count"), F.min("count"), F.sum("count")).first()
     return counts.select(
-        "class", "count", F.round(F.col("count") * 100.0 / F.lit(tot), 2).alias("share_pct"),
+        "class", "count", rnd(F.col("count") * 100.0 / F.lit(tot), 2).alias("share_pct"),
         F.lit(round(mx / mn, 4) if mn else None).cast("double").alias("imbalance_ratio"))
 
 
@@ -279,8 +279,8 @@ def strong_correlations(df: DataFrame, threshold: float = 0.5, top: int = 30) ->
     """Q18: pairs with |r| > threshold, strongest first, at most ``top`` (a top-k report)."""
     return (corr_pairs(df).where(F.abs("correlation") > threshold)
             .orderBy(F.desc(F.abs("correlation")), "col_a", "col_b").limit(top)
-            .select("col_a", "col_b", F.round("correlation", 4).alias("correlation"),
-                    F.round(F.abs("correlation"), 4).alias("abs_correlation")))
+            .select("col_a", "col_b", rnd("correlation", 4).alias("correlation"),
+                    rnd(F.abs("correlation"), 4).alias("abs_correlation")))
 
 
 def quality_delta(before: DataFrame, after: DataFrame, target: str | None = None) -> DataFrame:
@@ -323,4 +323,4 @@ def quality_missing_all(df: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     out = long_agg(df, {c: {"missing_count": F.count_if(F.col(c).isNull()), "total": total} for c in df.columns})
     return out.select("column_name",
-                      F.round(F.try_divide(F.col("missing_count") * 100.0, F.col("total")), 2).alias("missing_pct"))
+                      rnd(F.try_divide(F.col("missing_count") * 100.0, F.col("total")), 2).alias("missing_pct"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..functions.stats import rnd
 from pyspark.sql.types import DoubleType, FloatType
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every floating column (both sides of an oracle check round the same way)."""
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
+        rnd(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
         else F.col(f.name) for f in df.schema.fields])
 
 

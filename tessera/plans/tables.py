@@ -51,6 +51,24 @@ DERIVED = {
                l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge,
                l_extendedprice / l_quantity AS unit_price
         FROM lineitem""",
+    # lineitem with intact order keys and gaps in the value columns (for fills)
+    "lineitem_fill": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate,
+               CASE WHEN l_quantity > 40 THEN NULL ELSE l_tax END AS tax_g,
+               CASE WHEN l_quantity < 12 THEN NULL ELSE l_quantity END AS qty_g,
+               CASE WHEN l_quantity BETWEEN 20 AND 24 THEN NULL ELSE l_returnflag END AS flag_g
+        FROM lineitem""",
+    # orders amounts written as formatted text
+    "orders_dirty": """
+        SELECT o_orderkey,
+               CASE WHEN o_orderstatus = 'F' THEN concat('$', CAST(o_totalprice AS STRING))
+                    WHEN o_orderstatus = 'O' THEN concat('(', CAST(o_custkey AS STRING), ')')
+                    ELSE concat(CAST(o_custkey AS STRING), '%') END AS amount_text,
+               CASE WHEN o_orderpriority LIKE '1%' THEN 'n/a'
+                    ELSE concat(' ', CAST(o_custkey AS STRING), ' ') END AS qty_text,
+               CASE WHEN o_orderpriority LIKE '2%' THEN 'yes' WHEN o_orderpriority LIKE '3%' THEN 'no'
+                    ELSE o_orderstatus END AS flag_text
+        FROM orders""",
     # numeric orders features joined with the customer segment (a small dimension)
     "order_features": """
         SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate, o.o_orderstatus,
