@@ -33,3 +33,21 @@ def join_dimension(df: DataFrame, dim: DataFrame, on, how: str = "left",
     """Join a derived dimension, broadcasting it only when its counted size is under the bound."""
     n = dim.count()
     return df.join(F.broadcast(dim) if n <= max_broadcast_rows else dim, on, how)
+
+
+def global_prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column],
+                       n_ranges: int | None = None) -> DataFrame:
+    """Running sums (first row .. current row along ``order``) without a global window.
+
+    Same scheme as ``global_row_number``: local running sums inside each range plus
+    the totals of all earlier ranges (a table of one row per range).
+    """
+    n = n_ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = df.repartitionByRange(n, *order).withColumn("_rid", F.spark_partition_id())
+    w = Window.partitionBy("_rid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(e).over(w).alias(f"_cs_{k}") for k, e in sums.items()])
+    tot = local.groupBy("_rid").agg(*[F.sum(e).alias(f"_t_{k}") for k, e in sums.items()])
+    before = Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_rid", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    return (local.join(F.broadcast(offs), "_rid")
+            .select(*[F.col(c) for c in df.columns], *[(F.col(f"_cs_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums]))

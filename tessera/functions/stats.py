@@ -115,3 +115,15 @@ def rnd(c, digits: int = 4) -> Column:
 
 def pct(num, den, digits: int = 2) -> Column:
     return rnd(F.try_divide(col_(num) * F.lit(100.0), col_(den)), digits)
+
+
+def round_half_away(x: float | None, digits: int = 4) -> float | None:
+    """Driver-side twin of ``rnd`` for scalars: round(x * 10^d) half away from zero, / 10^d."""
+    import math
+    if x is None or (isinstance(x, float) and (math.isnan(x) or math.isinf(x))):
+        return x
+    m = float(10 ** digits)
+    r = abs(x) * m
+    f = math.floor(r)
+    v = f + 1.0 if r - f >= 0.5 else float(f)
+    return math.copysign(v, x) / m if v else 0.0

@@ -69,6 +69,19 @@ DERIVED = {
                CASE WHEN o_orderpriority LIKE '2%' THEN 'yes' WHEN o_orderpriority LIKE '3%' THEN 'no'
                     ELSE o_orderstatus END AS flag_text
         FROM orders""",
+    # classifier outputs derived from order attributes: binary label, tied scores, 3-class view
+    "scored_orders": """
+        SELECT o_orderkey,
+               CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
+               CAST(o_custkey % 50 AS DOUBLE) / 100.0
+                 + CASE WHEN o_orderstatus = 'F' THEN 0.3 ELSE 0.0 END
+                 + CASE WHEN o_orderpriority LIKE '1%' THEN 0.2 ELSE 0.0 END AS score,
+               o_orderstatus AS status,
+               CASE WHEN o_totalprice < 100000 THEN 'O' WHEN o_totalprice < 250000 THEN 'F' ELSE 'X' END AS status_pred
+        FROM orders""",
+    # events split in time: baseline before 2024-01-15, current after
+    "events_base": "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'",
+    "events_cur": "SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'",
     # numeric orders features joined with the customer segment (a small dimension)
     "order_features": """
         SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate, o.o_orderstatus,
