@@ -82,6 +82,11 @@ DERIVED = {
     # events split in time: baseline before 2024-01-15, current after
     "events_base": "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'",
     "events_cur": "SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'",
+    # part - supplier graph: an edge where a supplier shipped a part at least twice
+    "supply_edges": """
+        SELECT concat('p', CAST(l_partkey AS STRING)) AS src, concat('s', CAST(l_suppkey AS STRING)) AS dst,
+               count(*) AS weight
+        FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) >= 2""",
     # numeric orders features joined with the customer segment (a small dimension)
     "order_features": """
         SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate, o.o_orderstatus,
