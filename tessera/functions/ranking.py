@@ -36,18 +36,24 @@ def join_dimension(df: DataFrame, dim: DataFrame, on, how: str = "left",
 
 
 def global_prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column],
-                       n_ranges: int | None = None) -> DataFrame:
-    """Running sums (first row .. current row along ``order``) without a global window.
-
-    Same scheme as ``global_row_number``: local running sums inside each range plus
-    the totals of all earlier ranges (a table of one row per range).
+                       n_ranges: int | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """Running sums (first row .. current row along ``order``, optionally per group) without a
+    single-task window.
+
+    Same scheme as ``global_row_number``: rows are range-partitioned on (group, order), so a
+    group holding a third of all rows spans several ranges; each range computes local running
+    sums, and the totals of the group's earlier ranges are added from a table with one row
+    per (range, group).
     """
+    pb = list(partition_by or [])
     n = n_ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(n, *order).withColumn("_rid", F.spark_partition_id())
-    w = Window.partitionBy("_rid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in pb], *order).withColumn("_rid", F.spark_partition_id())
+    w = Window.partitionBy("_rid", *pb).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(e).over(w).alias(f"_cs_{k}") for k, e in sums.items()])
-    tot = local.groupBy("_rid").agg(*[F.sum(e).alias(f"_t_{k}") for k, e in sums.items()])
-    before = Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_rid", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
-    return (local.join(F.broadcast(offs), "_rid")
-            .select(*[F.col(c) for c in df.columns], *[(F.col(f"_cs_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums]))
+    tot = local.groupBy("_rid", *pb).agg(*[F.sum(e).alias(f"_t_{k}") for k, e in sums.items()])
+    before = Window.partitionBy(*pb).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_rid", *pb, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    # without groups the offsets table has one row per range (bounded by n): broadcast it
+    joined = local.join(F.broadcast(offs) if not pb else offs, ["_rid", *pb])
+    return joined.select(*[F.col(c) for c in df.columns],
+                         *[(F.col(f"_cs_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums])
