@@ -94,3 +94,24 @@ def consensus(flags: dict[str, DataFrame], key: list[str]) -> DataFrame:
     parts = [f.select(*key, F.col("is_anomaly").cast("int").alias("vote")) for f in flags.values()]
     votes = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.sum("vote").alias("votes"))
     return votes.select(*key, "votes", (F.col("votes") * 2 >= F.lit(n)).alias("is_anomaly"))
+
+
+def pca_reconstruction_flags(df: DataFrame, columns: list[str], key: str, contamination: float = 0.05,
+                             k: int | None = None) -> DataFrame:
+    """Squared reconstruction error through the first k = max(2, p // 3) principal components
+    of the standardised columns (a linear autoencoder); the top ``contamination`` share is flagged."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+    from .encode import scale
+    from .ml import assemble
+    z = scale(df.select(key, *columns), columns, "standard")
+    k = k or max(2, len(columns) // 3)
+    vec = assemble(columns, "_x").transform(z)
+    model = PCA(k=k, inputCol="_x", outputCol="_p").fit(vec)
+    pcs = model.pc.toArray()  # p x k loadings: bounded by the number of columns
+    proj = model.transform(vec).select(key, vector_to_array("_x").alias("x"), vector_to_array("_p").alias("s"))
+    recon = [reduce(lambda a, b: a + b, [F.col("s")[j] * float(pcs[i, j]) for j in range(k)]) for i in range(len(columns))]
+    err = reduce(lambda a, b: a + b, [(F.col("x")[i] - recon[i]) ** 2 for i in range(len(columns))])
+    scored = proj.select(key, err.alias("recon_error"))
+    cut = scored.agg(F.percentile_approx("recon_error", 1 - contamination, 10000)).first()[0]
+    return scored.select(key, rnd("recon_error", 4).alias("recon_error"), (F.col("recon_error") > F.lit(cut)).alias("is_anomaly"))
