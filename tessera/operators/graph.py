@@ -112,7 +112,7 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
-                         checkpoint_every: int = 3) -> DataFrame:
+                         checkpoint_every: int = 1) -> DataFrame:
     """Min-label propagation until no label changes; (id, component = smallest id in it)."""
     adj = both_directions(edges).select("src", "dst").distinct()
     labels = nodes.select("id", F.col("id").alias("component"))
@@ -139,7 +139,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
     has_out = out_w.select(F.col("src").alias("id"), F.lit(True).alias("has_out"))
     for r in range(1, rounds + 1):
-        dangling = ranks.join(has_out, "id", "left").where(F.col("has_out").isNull()).agg(F.sum("rank")).first()[0] or 0.0
+        # an undirected graph has no dangling nodes: every node listed has an edge; directed
+        # graphs need the mass of rank-holding nodes without out-edges (one number per round)
+        dangling = 0.0 if not directed else (
+            ranks.join(has_out, "id", "left").where(F.col("has_out").isNull()).agg(F.sum("rank")).first()[0] or 0.0)
         contrib = trans.join(ranks, trans["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("s"))
         new = ranks.select("id").join(contrib, ranks["id"] == contrib["dst"], "left").select(
             "id", (F.lit((1 - alpha) / n) + F.lit(alpha) * (F.coalesce("s", F.lit(0.0)) + F.lit(dangling / n))).alias("rank"))
