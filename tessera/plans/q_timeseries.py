@@ -95,7 +95,7 @@ k AS (SELECT event_type, ts, value,
         first_value(value IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv FROM s)
 SELECT event_type, ts, round(v, 4) AS value FROM (
   SELECT event_type, ts, CASE WHEN value IS NOT NULL THEN value WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv
-         ELSE pv + (nv - pv) * (CAST(epoch_us(ts) AS DOUBLE) - epoch_us(pt)) / (CAST(epoch_us(nt) AS DOUBLE) - epoch_us(pt)) END AS v
+         ELSE pv + (nv - pv) * ((CAST(epoch_us(ts) AS DOUBLE) - epoch_us(pt)) / (CAST(epoch_us(nt) AS DOUBLE) - epoch_us(pt))) END AS v
   FROM k) WHERE v IS NOT NULL""")
 def ts_interpolate(spark, sf):
     return _r4(_hourly(spark, sf, "interpolate"))
