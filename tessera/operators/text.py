@@ -58,8 +58,8 @@ def _stop_array() -> Column:
 
 
 def drop_stopwords(tokens: Column) -> Column:
-    stop = _stop_array()
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    # isin over literals compiles to a hash-set lookup (InSet), not a scan of the list per token
+    return F.filter(tokens, lambda t: ~t.isin(STOPWORDS))
 
 
 # ---------------------------------------------------------------- N1 / N2
@@ -130,8 +130,9 @@ def alpha_word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     # maximal runs of Unicode word characters that consist of ASCII letters only: the same
     # matches as a Unicode-aware \b[a-zA-Z]{2,}\b, written without word-boundary assertions
     runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD + "+"), 0)
-    words = drop_stopwords(F.filter(runs, lambda w: w.rlike(ALPHA2)))
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    words = df.select(F.explode(runs).alias("word"))
+    kept = words.where(F.col("word").rlike(ALPHA2) & ~F.col("word").isin(STOPWORDS))
+    return kept.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def word_cloud(df: DataFrame, text: str = "text", top_k: int = 100) -> DataFrame:
