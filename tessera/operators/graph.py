@@ -118,12 +118,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     labels = nodes.select("id", F.col("id").alias("component"))
     for r in range(1, max_rounds + 1):
         prop = adj.join(labels, adj["src"] == labels["id"]).select(F.col("dst").alias("id"), F.col("component").alias("c"))
+        # the change flag travels with the new labels, so convergence is a scan, not a join
         new = (labels.join(prop.groupBy("id").agg(F.min("c").alias("c")), "id", "left")
-               .select("id", F.least("component", F.coalesce("c", "component")).alias("component")))
+               .select("id", F.least("component", F.coalesce("c", "component")).alias("component"),
+                       F.coalesce(F.col("c") < F.col("component"), F.lit(False)).alias("_chg")))
         if r % checkpoint_every == 0:
             new = new.checkpoint()
-        changed = new.join(labels.withColumnRenamed("component", "old"), "id").where(F.col("component") != F.col("old")).limit(1).count()
-        labels = new
+        changed = new.where(F.col("_chg")).limit(1).count()
+        labels = new.select("id", "component")
         if changed == 0:
             break
     return labels
