@@ -1,9 +1,11 @@
 """The queries of this folder, by name, and the SQL of those that SQL can express."""
 
-from . import q_dedup
+from . import q_dedup, q_mixing, q_tokens
 
 QUERIES = {
     "op1_exact_dedup": q_dedup.op1_exact_dedup,
+    "op2_byte_bpe": q_tokens.op2_byte_bpe,
+    "op10_source_mixing": q_mixing.op10_source_mixing,
 }
 
 ORACLE = {
