@@ -1,6 +1,7 @@
-"""Registered query of exact deduplication."""
+"""Registered queries of exact and near deduplication."""
 
 from .exact_dedup import exact_dedup
+from .minhash import near_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,3 +16,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
 FROM d
 """
+
+
+def op5_minhash_near_dedup(spark, sf_dir):
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

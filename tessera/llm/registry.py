@@ -5,6 +5,7 @@ from . import q_dedup, q_mixing, q_tokens
 QUERIES = {
     "op1_exact_dedup": q_dedup.op1_exact_dedup,
     "op2_byte_bpe": q_tokens.op2_byte_bpe,
+    "op5_minhash_near_dedup": q_dedup.op5_minhash_near_dedup,
     "op10_source_mixing": q_mixing.op10_source_mixing,
 }
 
