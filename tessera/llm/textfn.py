@@ -27,3 +27,8 @@ def free_name(taken: list[str], wish: str) -> str:
     while wish.lower() in low:
         wish += "_"
     return wish
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once (a lambda over an array of one element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
