@@ -1,12 +1,13 @@
 """The queries of this folder, by name, and the SQL of those that SQL can express."""
 
-from . import q_dedup, q_mixing, q_quality, q_tokens
+from . import q_dedup, q_mixing, q_pii, q_quality, q_tokens
 
 QUERIES = {
     "op1_exact_dedup": q_dedup.op1_exact_dedup,
     "op2_byte_bpe": q_tokens.op2_byte_bpe,
     "op5_minhash_near_dedup": q_dedup.op5_minhash_near_dedup,
     "op7_quality_rules": q_quality.op7_quality_rules,
+    "op8_personal_data": q_pii.op8_personal_data,
     "op10_source_mixing": q_mixing.op10_source_mixing,
 }
 
