@@ -1,10 +1,12 @@
 """The queries of this folder, by name, and the SQL of those that SQL can express."""
 
-from . import q_dedup, q_mixing, q_pii, q_quality, q_tokens
+from . import q_chat, q_dedup, q_language, q_mixing, q_pii, q_quality, q_tokens
 
 QUERIES = {
     "op1_exact_dedup": q_dedup.op1_exact_dedup,
     "op2_byte_bpe": q_tokens.op2_byte_bpe,
+    "op3_language_id": q_language.op3_language_id,
+    "op4_chat_formatting": q_chat.op4_chat_formatting,
     "op5_minhash_near_dedup": q_dedup.op5_minhash_near_dedup,
     "op7_quality_rules": q_quality.op7_quality_rules,
     "op8_personal_data": q_pii.op8_personal_data,
@@ -13,4 +15,5 @@ QUERIES = {
 
 ORACLE = {
     "op1_exact_dedup": q_dedup.OP1_SQL,
+    "op4_chat_formatting": q_chat.OP4_SQL,
 }
