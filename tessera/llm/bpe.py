@@ -2,14 +2,14 @@
 
 A pre-token is merged with a hierarchical-bitmap rank queue. There is one bucket for
 each merge rank that some adjacent pair has; a bucket holds the linked-list positions
-of its pairs, leftmost first. Three levels of 64-bit words say which buckets are not
-empty, so the next rank is three find-first-set steps, whatever the length. An entry
+of its pairs, leftmost first. Two levels of 256-bit words say which buckets are not
+empty, so the next rank is two find-first-set steps, whatever the length. An entry
 whose position has meanwhile another pair is stale and is skipped. A pre-token of n
 bytes costs O(n log n) at most: one of a megabyte is no special case.
 
 Texts are first cut at every space that is followed by the next chunk; the pattern can
 never match across such a cut, so equal chunks have equal ids and each worker remembers
-the chunks it saw last (``CACHE`` entries, then it starts anew). Rows are encoded one by
+those it saw last (``CACHE`` chunks and pre-tokens). Rows are encoded one by
 one inside Arrow batches; nothing is gathered, and a lost task is simply run again.
 
 Defined cases: a null text is the empty text and has no ids; texts are whole, of any
@@ -29,8 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Chunks that a worker remembers, and rows it turns into one output batch.
-CACHE, ROWS = 200_000, 500
+#: Chunks and pre-tokens that a worker remembers, and rows it turns into one output batch.
+CACHE, ROWS = 300_000, 500
+BIT = [1 << i for i in range(1 << 12)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,44 +40,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Positions by rank; ``pop`` gives the lowest rank's leftmost position."""
-
-    def __init__(self, n_ranks: int):
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[group]
-        word = (group << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= bits - 1
-            if not self.low[word]:
-                self.mid[group] &= ~(1 << (word & 63))
-                if not self.mid[group]:
-                    self.top &= ~(1 << group)
-        return rank, position
-
-
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -84,41 +47,66 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(len(self.tokens))
-        self.chunks = _Chunks(self)
+        self.words = [0] * ((len(self.tokens) >> 8) + 1)  # of the queue: bits of its buckets; all 0 between pre-tokens
+        self.chunks = _Recent(self._chunk)
+        self.pieces = _Recent(lambda piece: np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes())
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. The queue's steps stand in line: a call for each costs more than the step."""
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
-        n, get, queue = len(piece), ranks.get, self.queue
+        n, get, words = len(piece), ranks.get, self.words
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [get(piece[i:i + 2], -1) for i in range(n)]
-        pair[-1] = -1
-        push, pop = queue.push, queue.pop
+        pair = [get(piece[i:i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        top, buckets = 0, {}  # a bit for each word that is not 0; positions by rank
         for i, rank in enumerate(pair):
-            if rank >= 0:
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+            if rank is None:
+                continue
+            if rank in buckets:
+                buckets[rank].append(i)  # positions come in order: a heap already
+            else:
+                buckets[rank] = [i]
+                words[rank >> 8] |= BIT[rank & 255]
+                top |= BIT[rank >> 8]
+        while top:
+            low = (top & -top).bit_length() - 1  # find first set, twice
+            bits = words[low]
+            rank = (low << 8) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[low] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale: the position has another pair now, or was merged away
             gone = after[i]
             right = after[i] = after[gone]
-            pair[gone] = -1
+            pair[gone] = pair[i] = None
+            left = before[i]
             if right < n:
                 before[right] = i
-                pair[i] = new = get(piece[i:after[right]], -1)
-                if new >= 0:
-                    push(new, i)
+                changed = (i, left) if left >= 0 else (i,)
+            elif left >= 0:
+                changed = (left,)
             else:
-                pair[i] = -1
-            left = before[i]
-            if left >= 0:
-                pair[left] = new = get(piece[left:right], -1)
-                if new >= 0:
-                    push(new, left)
+                continue
+            for at in changed:
+                new = get(piece[at:after[after[at]]])
+                pair[at] = new
+                if new is None:
+                    continue
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    words[new >> 8] |= BIT[new & 255]
+                    top |= BIT[new >> 8]
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i:after[i]]])
@@ -126,11 +114,13 @@ class Codec:
         return ids
 
     def pack(self, text: str) -> bytes:
-        """Ids of a text without the cut at spaces, as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        for piece in self.split(text):
-            ids += self.merge(piece.encode("utf-8", "surrogatepass"))
-        return np.array(ids, "<u4").tobytes()
+        """Ids of a text without the cut at blanks, as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace():
+            raise _WhiteRun
+        return self.pack(" " + chunk)
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -138,8 +128,6 @@ class Codec:
             packed = b"".join(map(self.chunks.__getitem__, rest)) if first else None
         except _WhiteRun:
             packed = None
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
         if packed is None:  # cut only before a blank that a word follows: a boundary in any case
             return b"".join(map(self.pack, regex.split(r"(?= \S)", text, flags=regex.V1)))
         return self.pack(first) + packed
@@ -152,20 +140,23 @@ class _WhiteRun(Exception):
     """White space after a blank: the cut between them may be no boundary."""
 
 
-class _Chunks(dict):
-    """Packed ids of ' ' + chunk, made when first asked for."""
+class _Recent(dict):
+    """``make(key)``, remembered for at least the last ``CACHE`` new keys, at most twice as many."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, make):
         super().__init__()
-        self.codec = codec
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace():
-            raise _WhiteRun
-        packed = self.codec.pack(" " + chunk)
-        if len(chunk) < 64:
-            self[chunk] = packed
-        return packed
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 _codecs: dict[str, Codec] = {}

@@ -89,7 +89,7 @@ def jumps(messages: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataF
                      F.when(found, F.col("score").cast("double")).otherwise(F.lit(0.0)).alias("total")))
     size = messages.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     tables = [scratch.keep(table, "jump0")]
-    while 2 ** len(tables) <= size:
+    while 2 ** (len(tables) - 1) < size:
         k, last = len(tables), tables[-1]
         if not last.where(F.col("steps") == 2 ** (k - 1)).limit(1).count():
             break
