@@ -1,6 +1,6 @@
 """The queries of this folder, by name, and the SQL of those that SQL can express."""
 
-from . import q_chat, q_dedup, q_language, q_mixing, q_pii, q_quality, q_tokens
+from . import q_chat, q_dedup, q_html, q_language, q_mixing, q_pii, q_quality, q_tokens
 
 QUERIES = {
     "op1_exact_dedup": q_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_minhash_near_dedup": q_dedup.op5_minhash_near_dedup,
     "op7_quality_rules": q_quality.op7_quality_rules,
     "op8_personal_data": q_pii.op8_personal_data,
+    "op9_html_extraction": q_html.op9_html_extraction,
     "op10_source_mixing": q_mixing.op10_source_mixing,
 }
 
