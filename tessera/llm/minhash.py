@@ -11,8 +11,9 @@ J = 0.75 is missed with probability (1 - 0.75**4)**32 = 5e-6, one at 0.8 with 5e
 2. The classes of a bucket (equal band) are compared with the bucket's smallest member:
    one pair for each member, not for each two. Confirmed pairs become links.
 3. Buckets whose members are by now in one component need no more: further links could not
-   change it. In the others, the members of different components are compared with each
-   other (except those already compared), so that no component is split for want of a test.
+   change it. In the others, classes are left out whose shingles that other components have
+   too are too few for any link (counted by shingle, so linear in the sets); the members
+   that remain are compared across components inside a join that only returns links.
 4. Links hold if 100 * intersection >= percent * union of the two full sets.
 
 Every join is on identifiers or bands, with one row on one side for each key, so that
@@ -37,8 +38,8 @@ from .scratch import Scratch
 from .shingles import mix, shingle_sets
 from .textfn import free_name
 
-#: Shingles hashed by all permutations at a time.
-BLOCK = 1 << 14
+#: Shingles hashed by all permutations at a time; passes over what may still link two components.
+BLOCK, PRUNINGS = 1 << 14, 2
 
 
 class MinMax:
@@ -116,6 +117,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("u", "v"))
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    still = (members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
+             .where("lo <> hi").select("band", "least"))
+    return members.select("band", "rep", "n", "component").join(still, "band")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Without the classes that cannot have a link to another component: a link needs an intersection of
+    percent / (100 + percent) of both sizes, and only shingles that other components have too can be in it."""
+    each = members.groupBy("rep", "n", "component").agg(F.min("least").alias("least"))
+    shingles = each.join(sets, each["rep"] == sets["id"]).select("rep", "component", F.explode("shingles").alias("s"))
+    crossing = shingles.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s")
+    common = shingles.select("rep", "s").join(crossing, "s").groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
+    other = F.greatest(F.col("least") * 100, F.col("n") * percent)  # hundredths of the size of the smallest partner
+    able = each.join(common, "rep").where(F.col("common") * (100 + percent) * 100 >= (F.col("n") * 100 + other) * percent)
+    return members.drop("least").join(able.select("rep"), "rep", "left_semi")
+
+
+def _cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a bucket. The sets are compared inside the join, in the first
+    bucket that two members share: pairs that are no link never become rows."""
+    bands = members.groupBy("rep").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    full = members.join(bands, "rep").join(sets, members["rep"] == sets["id"])
+    side = lambda x: full.select(F.col("band").alias(f"band_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"),
+                                 F.col("bands").alias(f"bands_{x}"), F.col("shingles").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_u", "s_v"))
+    sizes = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
+    similar = both * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
+    first = F.array_min(F.array_intersect("bands_u", "bands_v")) == F.col("band_u")
+    return (side("u").join(side("v"), (F.col("band_u") == F.col("band_v")) & (F.col("c_u") < F.col("c_v"))
+                           & F.when(~sizes, F.lit(False)).when(~first, F.lit(False)).otherwise(similar))
+            .select("u", "v"))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75,
                perms: int = 64, rows: int = 4) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id, kept``."""
@@ -139,15 +175,12 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     placed = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
-    open_buckets = (placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                    .where("lo <> hi").select("band"))
-    rest = scratch.keep(placed.where("rep <> centre").join(open_buckets, "band").select("band", "rep", "n", "component"), "open")
-    a, b = rest.alias("a"), rest.alias("b")
-    cross = (a.join(b, "band").where("a.component < b.component").where(fits(F.col("a.n"), F.col("b.n")))
-             .select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct())
-    more = scratch.keep(_confirmed(cross, sets, percent).distinct(), "more_links")
+    rest = scratch.keep(_open(placed), "open0")
+    for i in range(1, PRUNINGS + 1):
+        rest = scratch.keep(_open(_linkable(rest, sets, percent)), f"open{i}")
+    more = scratch.keep(_cross_links(rest, sets, percent), "more_links")
     joined = scratch.keep(components(links.unionByName(more), scratch, "final"), "components")
-    scratch.drop("members", "stars", "ids", "sets", "open", "links", "more_links")
+    scratch.drop("members", "stars", "ids", "sets", "links", "more_links", *[f"open{i}" for i in range(PRUNINGS + 1)])
 
     named = scratch.keep(classes.select("digest", "n", "rep").join(
         joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
