@@ -1,6 +1,6 @@
 """The queries of this folder, by name, and the SQL of those that SQL can express."""
 
-from . import q_chat, q_dedup, q_html, q_language, q_mixing, q_pii, q_quality, q_tokens
+from . import q_chat, q_dedup, q_html, q_language, q_mixing, q_pii, q_quality, q_repeats, q_tokens
 
 QUERIES = {
     "op1_exact_dedup": q_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_language_id": q_language.op3_language_id,
     "op4_chat_formatting": q_chat.op4_chat_formatting,
     "op5_minhash_near_dedup": q_dedup.op5_minhash_near_dedup,
+    "op6_repeat_removal": q_repeats.op6_repeat_removal,
     "op7_quality_rules": q_quality.op7_quality_rules,
     "op8_personal_data": q_pii.op8_personal_data,
     "op9_html_extraction": q_html.op9_html_extraction,
