@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "quality_report", "describe_numeric", "profile_columns", "impute_ffill", "dedup_first", "scale_robust",
     "label_encode", "roc_auc", "confusion_matrix", "drift_ks", "anomaly_consensus", "histogram",
-    "rfm", "ts_regularize", "keywords_tfidf", "word_cloud", "components", "pagerank",
+    "rfm", "regularize", "keywords_tfidf", "word_cloud", "components", "pagerank",
 ]
 
 
@@ -35,7 +35,7 @@ def main():
     times = {}
     for name in HEADLINE:
         if name not in queries:
-            continue
+            raise KeyError(f"no such query: {name}")
         runs = []
         for i in range(4):
             t0 = time.perf_counter()

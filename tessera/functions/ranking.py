@@ -1,9 +1,10 @@
-"""Global row numbers without a single-partition window, and size-checked dimension joins.
+"""Global row numbers and running sums without a single-task window.
 
-``global_row_number`` range-partitions rows on the order key, numbers rows inside
-each range with a window partitioned by range id, and adds the count of all
-earlier ranges. Only the offsets table (one row per range) is global, and its
-size is the number of ranges, which the caller chooses.
+Rows are range-partitioned on the order key and sorted inside each range; every row gets its
+range id and its place in the range, and the frame is checkpointed *before* it is read twice
+(once for the rows, once for the totals of the ranges). Spark samples the borders of a range
+exchange anew whenever it is planned again, so ids and totals only agree on one materialised copy.
+Only the totals table (one row per range) is global.
 """
 
 from __future__ import annotations
@@ -11,16 +12,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 2_000_000  # dimension tables up to this many rows are broadcast
+from ..session import ensure_checkpoint_dir
+
+_PLACE = (1 << 33) - 1  # low bits of monotonically_increasing_id: the row's place in its partition
+
+
+def ranged(df: DataFrame, order: list[Column], n_ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_rid`` (range id, ascending along ``order``) and ``_lr`` (1-based place in the range).
+
+    Place and id come from the sorted partition itself, so no second exchange is needed for them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    n = n_ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+            .withColumn("_lr", F.monotonically_increasing_id())
+            .withColumn("_rid", F.shiftright("_lr", 33).cast("int"))
+            .withColumn("_lr", F.col("_lr").bitwiseAND(F.lit(_PLACE)) + 1)
+            .checkpoint())
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
                       n_ranges: int | None = None) -> DataFrame:
     """Append 1-based row numbers along ``order`` (which should be tie-free)."""
-    n = n_ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(n, *order).withColumn("_rid", F.spark_partition_id())
-    local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_rid").orderBy(*order)))
-    sizes = local.groupBy("_rid").agg(F.count(F.lit(1)).alias("_n"))
+    local = ranged(df, order, n_ranges)
+    sizes = local.groupBy("_rid").agg(F.max("_lr").alias("_n"))
     # window over at most n rows (one per range)
     offs = sizes.select("_rid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
@@ -28,32 +43,25 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
             .select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_lr")).alias(name)))
 
 
-def join_dimension(df: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a derived dimension, broadcasting it only when its counted size is under the bound."""
-    n = dim.count()
-    return df.join(F.broadcast(dim) if n <= max_broadcast_rows else dim, on, how)
-
-
 def global_prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column],
                        n_ranges: int | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Running sums (first row .. current row along ``order``, optionally per group) without a
-    single-task window.
+    """Running sums (first row .. current row along ``order``, optionally per group).
 
-    Same scheme as ``global_row_number``: rows are range-partitioned on (group, order), so a
-    group holding a third of all rows spans several ranges; each range computes local running
-    sums, and the totals of the group's earlier ranges are added from a table with one row
-    per (range, group).
+    A group holding a third of all rows spans several ranges; each range sums up locally, and the
+    totals of the group's earlier ranges are added from a table with one row per (range, group).
     """
     pb = list(partition_by or [])
-    n = n_ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in pb], *order).withColumn("_rid", F.spark_partition_id())
-    w = Window.partitionBy("_rid", *pb).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select("*", *[F.sum(e).over(w).alias(f"_cs_{k}") for k, e in sums.items()])
-    tot = local.groupBy("_rid", *pb).agg(*[F.sum(e).alias(f"_t_{k}") for k, e in sums.items()])
+    spread = ranged(df, [*[F.col(c) for c in pb], *order], n_ranges)
+    w = Window.partitionBy("_rid", *pb).orderBy("_lr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = spread.select("*", *[F.sum(e).over(w).alias(f"_cs_{k}") for k, e in sums.items()])
+    tot = spread.groupBy("_rid", *pb).agg(*[F.sum(e).alias(f"_t_{k}") for k, e in sums.items()])
     before = Window.partitionBy(*pb).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_rid", *pb, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    offs = tot.select("_rid", *[F.col(c).alias(f"_g_{c}") for c in pb],
+                      *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    same = local["_rid"] == offs["_rid"]
+    for c in pb:  # a null group is a group
+        same = same & local[c].eqNullSafe(offs[f"_g_{c}"])
     # without groups the offsets table has one row per range (bounded by n): broadcast it
-    joined = local.join(F.broadcast(offs) if not pb else offs, ["_rid", *pb])
-    return joined.select(*[F.col(c) for c in df.columns],
+    joined = local.join(F.broadcast(offs) if not pb else offs, same)
+    return joined.select(*[local[c] for c in df.columns],
                          *[(F.col(f"_cs_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums])

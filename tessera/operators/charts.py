@@ -66,20 +66,19 @@ def box_plot(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                       rnd("std", 4).alias("std"), "n_outliers")
 
 
-def scatter_corr(df: DataFrame, x: str, y: str, hue: str | None = None, max_hues: int = 10) -> DataFrame:
-    """V3: correlation and count overall and per hue value (the 10 most frequent hues)."""
+def scatter_corr(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
+    """V3: correlation and count overall and per hue value."""
     overall = df.agg(F.lit("__all__").alias("hue"), F.count(F.lit(1)).alias("n"), rnd(safe_corr(x, y), 4).alias("correlation"))
     if hue is None:
         return overall
-    top = [r[0] for r in df.groupBy(hue).count().orderBy(F.desc("count"), hue).limit(max_hues).collect()]
-    per = (df.where(F.col(hue).isin(top)).groupBy(F.col(hue).cast("string").alias("hue"))
+    per = (df.where(F.col(hue).isNotNull()).groupBy(F.col(hue).cast("string").alias("hue"))
            .agg(F.count(F.lit(1)).alias("n"), rnd(safe_corr(x, y), 4).alias("correlation")))
     return overall.unionByName(per)
 
 
-def corr_matrix(df: DataFrame, columns: list[str] | None = None, max_columns: int = 20) -> DataFrame:
-    """V4: full correlation matrix (first 20 numeric columns) in long form, diagonal included."""
-    cols = (columns or numeric_columns(df))[:max_columns]
+def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """V4: full correlation matrix of the numeric columns in long form, diagonal included."""
+    cols = columns or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     one = df.agg(*[safe_corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     rows = []

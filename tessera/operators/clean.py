@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.ranking import ranged
 from ..functions.stats import as_double, is_numeric_type, numeric_columns
 from .quality import iqr_fences
 
@@ -82,15 +83,12 @@ def fill_directional(df: DataFrame, cols: list[str], order_by: list[str],
     if partition_by:
         w = Window.partitionBy(*partition_by).orderBy(*order_fwd).rowsBetween(*frame)
         return df.select(*[F.last(F.col(c), True).over(w).alias(c) if c in cols else F.col(c) for c in df.columns])
-    n = n_ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(n, *order_fwd).withColumn("_rid", F.spark_partition_id())
-    wl = Window.partitionBy("_rid").orderBy(*order_fwd).rowsBetween(*frame)
-    local = ranged.select("*", *[F.last(F.col(c), True).over(wl).alias(f"_f_{c}") for c in cols])
+    spread = ranged(df, order_fwd, n_ranges)
+    wl = Window.partitionBy("_rid").orderBy("_lr").rowsBetween(*frame)
+    local = spread.select("*", *[F.last(F.col(c), True).over(wl).alias(f"_f_{c}") for c in cols])
     # last non-null value of each range, then the nearest earlier range's value (ranges are few)
-    tail_of = F.min_by if backward else F.max_by
-    tails = local.groupBy("_rid").agg(*[
-        tail_of(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order_by]))).alias(f"_t_{c}")
-        for c in cols])
+    tails = spread.groupBy("_rid").agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_lr"))).alias(f"_t_{c}") for c in cols])
     wc = Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select("_rid", *[F.last(F.col(f"_t_{c}"), True).over(wc).alias(f"_c_{c}") for c in cols])
     # carry has exactly one row per range id (n rows): a proven broadcast bound

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.ranking import global_row_number, join_dimension
+from ..functions.ranking import global_row_number
 from ..functions.stats import as_double, numeric_columns
 
 
@@ -55,19 +55,21 @@ def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFr
 
 # ---------------------------------------------------------------- one-hot
 def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False,
-            max_cardinality: int = CONFIG.one_hot_default_cap) -> DataFrame:
+            max_cardinality: int = CONFIG.one_hot_default_cap, on_wide: str = "raise") -> DataFrame:
     """T4: ``{col}_{value}`` boolean columns for columns with <= cap distinct values.
 
     The distinct values are fetched with a bound (cap + 1 rows per column), so a
-    high-cardinality column is detected without collecting it; such columns are
-    left unchanged. NULL gives all-false.
+    high-cardinality column is detected without collecting it; such a column is
+    an error (``on_wide="raise"``) or is left as it is (``"skip"``). NULL gives all-false.
     """
     cap = min(max_cardinality, CONFIG.one_hot_hard_cap)
     out = df
     for c in columns:
         vals = [r[0] for r in df.select(F.col(c)).where(F.col(c).isNotNull()).distinct().limit(cap + 1).collect()]
         if len(vals) > cap:
-            continue
+            if on_wide == "skip":
+                continue
+            raise ValueError(f"{c} has more than {cap} values: encode it otherwise, or pass on_wide='skip'")
         vals = sorted(vals, key=lambda v: (str(type(v)), v))
         if drop_first:
             vals = vals[1:]
@@ -78,8 +80,6 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False,
 
 
 def _label(v) -> str:
-    if isinstance(v, float) and v.is_integer():
-        return repr(v)
     return str(v)
 
 
@@ -91,11 +91,11 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """T5: replace each column by its code; NULL stays NULL (a size-checked dimension join)."""
+    """T5: replace each column by its code; NULL stays NULL (a join; Spark broadcasts the codes only when their size allows)."""
     out = df
     for c in columns:
         dim = label_codes(df, c)
-        out = join_dimension(out.withColumn("_v", F.col(c).cast("string")), dim, "_v")
+        out = out.withColumn("_v", F.col(c).cast("string")).join(dim, "_v", "left")
         out = out.select(*[F.col("_code").cast("long").alias(c) if x == c else F.col(x) for x in df.columns])
     return out
 
@@ -120,7 +120,7 @@ def target_encode(df: DataFrame, columns: list[str], target: str, leave_one_out:
         stats = df.groupBy(c).agg(F.avg(as_double(target)).alias("_m"), F.sum(as_double(target)).alias("_s"),
                                   F.count(as_double(target)).alias("_n"))
         stats = stats.where(F.col(c).isNotNull())
-        out = join_dimension(out, stats, c)
+        out = out.join(stats, c, "left")
         enc = (F.try_divide(F.col("_s") - as_double(target), (F.col("_n") - 1).cast("double"))
                if leave_one_out else F.col("_m"))
         out = out.withColumn(f"{c}_target_enc", enc).drop("_m", "_s", "_n")
@@ -133,7 +133,7 @@ def frequency_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df
     for c in columns:
         counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_f")).where(F.col(c).isNotNull())
-        out = join_dimension(out, counts, c).withColumn(f"{c}_freq", F.col("_f") / F.lit(float(total))).drop("_f")
+        out = out.join(counts, c, "left").withColumn(f"{c}_freq", F.col("_f") / F.lit(float(total))).drop("_f")
     return out
 
 

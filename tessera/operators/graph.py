@@ -15,6 +15,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..functions.stats import as_double, numeric_columns, rnd, safe_corr, string_columns
 
 
@@ -32,8 +33,7 @@ def cramers_v(df: DataFrame, a: str, b: str, min_rows: int = 10) -> DataFrame:
     cell = x.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     ra = cell.groupBy(a).agg(F.sum("o").alias("r"))
     cb = cell.groupBy(b).agg(F.sum("o").alias("c"))
-    # marginal tables have one row per category of one column
-    j = cell.join(F.broadcast(ra), a).join(F.broadcast(cb), b)
+    j = cell.join(ra, a).join(cb, b)
     s = j.agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("q"), F.sum("o").alias("n"))
     k = x.agg(F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"))
     from .quality import merge_one_row
@@ -58,12 +58,13 @@ def eta_squared(df: DataFrame, cat: str, num: str, min_rows: int = 10) -> DataFr
 
 
 # ---------------------------------------------------------------- entity graph
-def key_columns(df: DataFrame, max_distinct: int = 50, max_columns: int = 8) -> list[str]:
-    """Text columns with <= 50 distinct values, first 8 (schema order)."""
+def key_columns(df: DataFrame, max_distinct: int = 50) -> list[str]:
+    """Advice on which text columns suit an entity graph: those with at most ``max_distinct`` values.
+    The graph itself takes its columns from the caller."""
     from .profile import distinct_counts
     cols = string_columns(df)
     nd = {r.column_name: r.n_distinct for r in distinct_counts(df, cols).collect()}
-    return [c for c in cols if nd.get(c, 0) <= max_distinct][:max_columns]
+    return [c for c in cols if nd.get(c, 0) <= max_distinct]
 
 
 def entity_nodes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -111,44 +112,55 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     rnd(F.try_divide(2.0 * F.col("m"), F.lit(float(n))), 4).alias("avg_degree"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
-                         checkpoint_every: int = 1) -> DataFrame:
-    """Min-label propagation until no label changes; (id, component = smallest id in it)."""
-    adj = both_directions(edges).select("src", "dst").distinct()
-    labels = nodes.select("id", F.col("id").alias("component"))
-    for r in range(1, max_rounds + 1):
-        prop = adj.join(labels, adj["src"] == labels["id"]).select(F.col("dst").alias("id"), F.col("component").alias("c"))
-        # the change flag travels with the new labels, so convergence is a scan, not a join
-        new = (labels.join(prop.groupBy("id").agg(F.min("c").alias("c")), "id", "left")
-               .select("id", F.least("component", F.coalesce("c", "component")).alias("component"),
-                       F.coalesce(F.col("c") < F.col("component"), F.lit(False)).alias("_chg")))
-        if r % checkpoint_every == 0:
-            new = new.checkpoint()
-        changed = new.where(F.col("_chg")).limit(1).count()
-        labels = new.select("id", "component")
-        if changed == 0:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component = smallest id in it), by alternating large-star and small-star contraction.
+
+    Only the edge list is rewritten, the input is read once; every round shortens paths by a constant
+    factor, so a path of n nodes takes about log n rounds. It runs until the edges stay the same.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    e = (edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+         .distinct().checkpoint())
+    before = None
+    while True:
+        state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.max("v")).first()
+        if state == before:
             break
-    return labels
+        before = state
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+    return nodes.join(e.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 20,
-             tol: float | None = None, checkpoint_every: int = 5, directed: bool = False) -> DataFrame:
-    """Weighted PageRank; dangling mass spread uniformly; fixed rounds or until L1 change < n * tol."""
+             tol: float | None = None, directed: bool = False) -> DataFrame:
+    """Weighted PageRank; dangling mass spread uniformly; fixed rounds or until L1 change < n * tol.
+
+    The transition table is checkpointed once and the ranks after each few rounds; a round is one join
+    and one aggregation on it.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
     e = edges if directed else both_directions(edges)
     out_w = e.groupBy("src").agg(F.sum("weight").alias("ow"))
-    trans = e.join(out_w, "src").select("src", "dst", (F.col("weight") / F.col("ow")).alias("p"))
-    n = nodes.count()
-    ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
-    has_out = out_w.select(F.col("src").alias("id"), F.lit(True).alias("has_out"))
+    trans = e.join(out_w, "src").select("src", "dst", (F.col("weight") / F.col("ow")).alias("p")).checkpoint()
+    ranks = nodes.select("id").checkpoint()
+    n = ranks.count()
+    base = ranks
+    ranks = ranks.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    has_out = trans.select(F.col("src").alias("id")).distinct()
     for r in range(1, rounds + 1):
         # an undirected graph has no dangling nodes: every node listed has an edge; directed
         # graphs need the mass of rank-holding nodes without out-edges (one number per round)
         dangling = 0.0 if not directed else (
-            ranks.join(has_out, "id", "left").where(F.col("has_out").isNull()).agg(F.sum("rank")).first()[0] or 0.0)
+            ranks.join(has_out, "id", "left_anti").agg(F.sum("rank")).first()[0] or 0.0)
         contrib = trans.join(ranks, trans["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("s"))
-        new = ranks.select("id").join(contrib, ranks["id"] == contrib["dst"], "left").select(
+        new = base.join(contrib, base["id"] == contrib["dst"], "left").select(
             "id", (F.lit((1 - alpha) / n) + F.lit(alpha) * (F.coalesce("s", F.lit(0.0)) + F.lit(dangling / n))).alias("rank"))
-        if r % checkpoint_every == 0:
+        if r % 4 == 0 or directed or tol is not None:
             new = new.checkpoint()
         if tol is not None:
             diff = new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]

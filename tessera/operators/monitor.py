@@ -178,12 +178,10 @@ def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """(metric rows) x (enabled rules of that metric) where the rule condition holds.
 
     ``metrics`` has (metric_name, metric_value[, other keys]); ``rules`` is a small
-    user table (rule_id, name, metric_name, operator, threshold, severity, enabled),
-    broadcast after a size check.
+    user table (rule_id, name, metric_name, operator, threshold, severity, enabled).
     """
-    from ..functions.ranking import join_dimension
     r = rules.where(F.col("enabled"))
-    j = join_dimension(metrics, r, "metric_name", "inner")
+    j = metrics.join(r, "metric_name")
     return j.where(rule_condition(F.col("metric_value"), F.col("operator"), F.col("threshold")))
 
 

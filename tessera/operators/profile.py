@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from ..functions.topk import top_k_per_group
 from ..functions.stats import (rnd, 
@@ -47,17 +48,24 @@ def unpivot_values(df: DataFrame, cols: list[str], as_type: str) -> DataFrame:
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, n) for every distinct non-null value of every column.
 
-    Numeric columns are compared as doubles (so -0.0 equals 0.0), the rest as text.
+    Integers and decimals are compared exactly (64-bit ids that differ by one are two values), floating
+    columns as doubles (so -0.0 equals 0.0), the rest as text. Numbers are shown as doubles.
     The partial aggregate runs before the shuffle, so a value that holds a third of
     all rows costs one row per map task, not a hot reducer.
     """
-    num = [c for c in cols if is_numeric_type(df.schema[c].dataType)]
-    other = [c for c in cols if c not in num]
+    kinds: dict[str, list[str]] = {}  # columns by the type they are compared in
+    other = []
+    for c in cols:
+        t = df.schema[c].dataType
+        if not is_numeric_type(t):
+            other.append(c)
+        else:
+            kinds.setdefault("bigint" if isinstance(t, IntegralType) else t.simpleString() if isinstance(t, DecimalType) else "double", []).append(c)
     parts = []
-    if num:
-        parts.append(unpivot_values(df, num, "double").where(F.col("value").isNotNull())
+    for kind, some in kinds.items():
+        parts.append(unpivot_values(df, some, kind).where(F.col("value").isNotNull())
                      .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-                     .select("column_name", F.col("value").cast("string").alias("value"), "n"))
+                     .select("column_name", F.col("value").cast("double").cast("string").alias("value"), "n"))
     if other:
         parts.append(unpivot_values(df, other, "string").where(F.col("value").isNotNull())
                      .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))

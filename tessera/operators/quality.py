@@ -134,37 +134,20 @@ def quality_high_corr(df: DataFrame, threshold: float = CONFIG.high_correlation)
             .select("col_a", "col_b", rnd(F.abs("correlation"), 4).alias("correlation")))
 
 
-def quality_dtype_issues(df: DataFrame, order_by: list[str] | None = None, head: int = 50,
-                         parse_share: float = 0.8) -> DataFrame:
-    """Q10: text columns that are mostly numbers, or whose first ``head`` values are all dates.
-
-    "First" needs an order: the ``head`` smallest rows under ``order_by`` (a bounded top-k);
-    without one, every non-null value must parse.
-    """
+def quality_dtype_issues(df: DataFrame, parse_share: float = 0.8) -> DataFrame:
+    """Q10: text columns of which more than ``parse_share`` of all values are numbers, or are dates but no numbers."""
     cols = string_columns(df)
     if not cols:
         return _empty(df, "column_name string, issue string, parseable_pct double")
-    spec = {}
-    for c in cols:
-        nn = F.col(c).isNotNull()
-        spec[c] = {"non_null": F.count(F.col(c)),
-                   "parsed": F.count_if(nn & F.trim(F.col(c)).try_cast("double").isNotNull())}
-    num = long_agg(df, spec).where(F.col("non_null") > 0).select(
-        "column_name", (F.col("parsed") / F.col("non_null")).alias("share"))
-    numeric_issue = num.where(F.col("share") > parse_share).select(
-        "column_name", F.lit("Likely numeric stored as string").alias("issue"),
-        rnd(F.col("share") * 100.0, 1).alias("parseable_pct"))
-    date_parts = []
-    for c in cols:
-        vals = df.where(F.col(c).isNotNull())
-        if order_by:
-            vals = vals.orderBy(*order_by).limit(head)
-        date_parts.append(vals.agg(F.count(F.lit(1)).alias("n"),
-                                   F.count_if(F.try_to_timestamp(F.col(c)).isNotNull()).alias("ok"))
-                          .where((F.col("n") > 0) & (F.col("n") == F.col("ok")))
-                          .select(F.lit(c).alias("column_name"), F.lit("Likely datetime stored as string").alias("issue"),
-                                  F.lit(None).cast("double").alias("parseable_pct")))
-    return reduce(DataFrame.unionByName, [numeric_issue] + date_parts)
+    shares = long_agg(df, {c: {
+        "non_null": F.count(F.col(c)),
+        "numbers": F.count_if(F.trim(F.col(c)).try_cast("double").isNotNull()),
+        "dates": F.count_if(F.trim(F.col(c)).try_cast("double").isNull() & F.try_to_timestamp(F.col(c)).isNotNull())} for c in cols})
+    shares = shares.where(F.col("non_null") > 0)
+    number, date = F.col("numbers") / F.col("non_null"), F.col("dates") / F.col("non_null")
+    return shares.where((number > parse_share) | (date > parse_share)).select(
+        "column_name", F.when(number > parse_share, "Likely numeric stored as string").otherwise("Likely datetime stored as string").alias("issue"),
+        rnd(F.greatest(number, date) * 100.0, 1).alias("parseable_pct"))
 
 
 def quality_constant(df: DataFrame, low_share: float = CONFIG.low_variance) -> DataFrame:
@@ -235,10 +218,7 @@ def quality_score(issues: DataFrame) -> DataFrame:
 
 
 def quality_report(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Q15: issues plus a final ``score`` row, one DataFrame.
-
-    The input is cached once because four independent passes read it.
-    """
+    """Q15: issues plus a final ``score`` row, one DataFrame."""
     issues = quality_issues(df, target)
     score = quality_score(issues).select(
         F.lit("score").alias("issue_type"), F.lit(None).cast("string").alias("column_name"),
@@ -275,11 +255,12 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         F.lit(len(txt)).alias("n_text"), "missing_cells", "missing_pct", "duplicate_count", "duplicate_pct")
 
 
-def strong_correlations(df: DataFrame, threshold: float = 0.5, top: int = 30) -> DataFrame:
-    """Q18: pairs with |r| > threshold, strongest first, at most ``top`` (a top-k report)."""
-    return (corr_pairs(df).where(F.abs("correlation") > threshold)
-            .orderBy(F.desc(F.abs("correlation")), "col_a", "col_b").limit(top)
-            .select("col_a", "col_b", rnd("correlation", 4).alias("correlation"),
+def strong_correlations(df: DataFrame, threshold: float = 0.5, top: int | None = None) -> DataFrame:
+    """Q18: pairs with |r| > threshold: all, or the ``top`` strongest."""
+    pairs = corr_pairs(df).where(F.abs("correlation") > threshold)
+    if top is not None:
+        pairs = pairs.orderBy(F.desc(F.abs("correlation")), "col_a", "col_b").limit(top)
+    return (pairs.select("col_a", "col_b", rnd("correlation", 4).alias("correlation"),
                     rnd(F.abs("correlation"), 4).alias("abs_correlation")))
 
 

@@ -75,10 +75,9 @@ def rolling_stats(s: DataFrame, key: str, lags=(1, 6, 24), window: int = 24) ->
 
 def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Group median and mean joined back, and the value's difference from the group mean."""
-    from ..functions.ranking import join_dimension
     g = df.groupBy(group).agg(F.percentile(as_double(value), 0.5).alias("group_median"),
                               F.avg(as_double(value)).alias("group_mean"))
-    out = join_dimension(df, g, group)
+    out = df.join(g, group, "left")
     return out.select(*df.columns, rnd("group_median", 4).alias("group_median"), rnd("group_mean", 4).alias("group_mean"),
                       rnd(as_double(value) - F.col("group_mean"), 4).alias("diff_from_group_mean"))
 
@@ -90,12 +89,12 @@ def group_percentile(df: DataFrame, group: str, value: str) -> DataFrame:
     reduced to (group, value, count), then running counts are taken over that reduced
     table, so a hot group's raw rows are never sorted in one task.
     """
-    from ..functions.ranking import global_prefix_sums, join_dimension
+    from ..functions.ranking import global_prefix_sums
     v = df.groupBy(group, as_double(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     cum = global_prefix_sums(v, [F.col("_v").asc()], {"_cum": F.col("_c")}, partition_by=[group])
     sizes = v.groupBy(group).agg(F.sum("_c").alias("_n"))
     ranks = cum.join(sizes, group).select(group, "_v", (F.col("_cum") - F.col("_c")).alias("_below"), "_n")
-    out = join_dimension(df.withColumn("_v", as_double(value)), ranks, [group, "_v"])
+    out = df.withColumn("_v", as_double(value)).join(ranks, [group, "_v"], "left")
     pr = F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     return out.select(*df.columns, rnd(pr, 4).alias("percent_rank"))
 
@@ -108,7 +107,7 @@ def temporal_flags(df: DataFrame, ts: str, holidays: DataFrame | None = None, pe
                     F.to_date(ts).alias("_d"))
     if holidays is not None:
         h = holidays.select(F.col("date").alias("_d"), F.lit(True).alias("_h")).distinct()
-        out = out.join(F.broadcast(h), "_d", "left")  # holiday calendars are a few rows per year
+        out = out.join(h, "_d", "left")
         return out.select(*df.columns, "hour", "dayofweek", "is_weekend", "is_peak_hour",
                           F.coalesce("_h", F.lit(False)).alias("is_holiday"))
     return out.drop("_d")

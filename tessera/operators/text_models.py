@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +13,19 @@ from .text import clean_tokens
 
 
 def text_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id",
-                    vocab_size: int = 5000, seed: int = 42) -> DataFrame:
-    """Cleaned tokens -> counts -> IDF -> logistic regression; hash split 80 / 20;
+                    seed: int = 42) -> DataFrame:
+    """Cleaned tokens -> hashed counts (2**18 buckets, no term is dropped) -> IDF -> logistic regression; hash split 80 / 20;
     per-document test predictions."""
     d = docs.join(labels.select(key, F.col(label).cast("double").alias("label")), key) \
         .select(key, "label", clean_tokens(F.col("text")).alias("tokens"))
     d = d.withColumn("is_test", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(5)) == 0)
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size),
+    pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf"),
                             IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=50)])
     model = pipe.fit(d.where(~F.col("is_test")))
     return model.transform(d.where(F.col("is_test"))).select(key, "label", "prediction")
 
 
-def lda_topics(docs: DataFrame, k: int = 5, key: str = "doc_id", vocab_size: int = 2000, seed: int = 42,
+def lda_topics(docs: DataFrame, k: int = 5, key: str = "doc_id", vocab_size: int = 1 << 18, seed: int = 42,
                top_terms: int = 10):
     """Online LDA; (topic, rank, term, weight) and each document's dominant topic."""
     from pyspark.ml.functions import vector_to_array

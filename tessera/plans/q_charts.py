@@ -30,11 +30,9 @@ def histogram_stats(spark, sf):
 
 
 @query("grouped_histogram", sql=_HIST.format(
-    bins=10, last=9, grp="event_type, ",
-    flt="AND event_type IN (SELECT event_type FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1 "
-        "ORDER BY n DESC, event_type LIMIT 3))"))
+    bins=10, last=9, grp="event_type, ", flt=""))
 def grouped_histogram(spark, sf):
-    return V.histogram(table(spark, sf, "events"), "value", 10, by="event_type", max_groups=3)
+    return V.histogram(table(spark, sf, "events"), "value", 10, by="event_type")
 
 
 _BOX = ["value", "user_id"]

@@ -66,7 +66,7 @@ def one_hot_drop_first(spark, sf):
 
 @query("one_hot_skip_high_card", sql="SELECT p_partkey, p_name FROM part")
 def one_hot_skip_high_card(spark, sf):
-    return E.one_hot(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"])
+    return E.one_hot(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"], on_wide="skip")
 
 
 @query("label_encode", sql="""

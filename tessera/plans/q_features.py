@@ -258,8 +258,8 @@ def transform_advice(spark, sf):
     return Fe.transform_advice(table(spark, sf, "events"), _TA)
 
 
-_IA = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "revenue", "unit_price"]
-_IA_PAIRS = [(a, b) for i, a in enumerate(_IA) for b in _IA[i + 1:]][:15]
+_IA = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "revenue", "unit_price", "charge"]
+_IA_PAIRS = [(a, b) for i, a in enumerate(_IA) for b in _IA[i + 1:]]
 
 
 @query("interaction_advice", sql=cte("lineitem_metrics") + union_all([
@@ -274,7 +274,7 @@ _FR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "unit_price"]
 
 @query("feature_ranking", sql=cte("lineitem_metrics") + "SELECT * FROM (" + union_all([
     f"SELECT '{c}' AS column_name, round(abs({corr_sql(c, 'revenue')}), 4) AS score, round({corr_sql(c, 'revenue')}, 4) AS correlation "
-    f"FROM lineitem_metrics" for c in _FR]) + ") ORDER BY score DESC NULLS LAST, column_name LIMIT 30")
+    f"FROM lineitem_metrics" for c in _FR]) + ")")
 def feature_ranking(spark, sf):
     return Fe.feature_ranking(derived(spark, sf, "lineitem_metrics").select(*_FR, "revenue"), "revenue", _FR)
 

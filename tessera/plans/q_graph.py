@@ -83,7 +83,7 @@ def eta_squared(spark, sf):
     f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in _CAT]))
 def entity_nodes(spark, sf):
     df = derived(spark, sf, "order_features")
-    return G.entity_nodes(df, G.key_columns(df))
+    return G.entity_nodes(df, _CAT)
 
 
 @query("entity_edges", sql=cte("order_features") + "SELECT * FROM (" + union_all([
@@ -92,7 +92,7 @@ def entity_nodes(spark, sf):
     + ") WHERE weight >= 2")
 def entity_edges(spark, sf):
     df = derived(spark, sf, "order_features")
-    return G.entity_edges(df, G.key_columns(df), 2)
+    return G.entity_edges(df, _CAT, 2)
 
 
 @query("graph_degree", sql=EDGES + f""", {BOTH}, {NODES}

@@ -181,12 +181,15 @@ SELECT column_name, 'Likely numeric stored as string' AS issue, round(share * 10
   UNION ALL SELECT 'date_text', CAST(count(*) FILTER (WHERE TRY_CAST(trim(date_text) AS DOUBLE) IS NOT NULL) AS DOUBLE) / count(date_text) FROM orders_text
 ) WHERE share > 0.8
 UNION ALL
-SELECT 'date_text', 'Likely datetime stored as string', NULL
-FROM (SELECT date_text FROM orders_text WHERE date_text IS NOT NULL ORDER BY o_orderkey LIMIT 50)
-HAVING count(*) > 0 AND count(*) = count(TRY_CAST(date_text AS TIMESTAMP))
+SELECT column_name, 'Likely datetime stored as string', round(share * 100.0, 1) FROM (
+  SELECT 'o_orderstatus' AS column_name, CAST(count(*) FILTER (WHERE TRY_CAST(trim(o_orderstatus) AS DOUBLE) IS NULL AND TRY_CAST(o_orderstatus AS TIMESTAMP) IS NOT NULL) AS DOUBLE) / count(o_orderstatus) AS share FROM orders_text
+  UNION ALL SELECT 'o_orderpriority', CAST(count(*) FILTER (WHERE TRY_CAST(trim(o_orderpriority) AS DOUBLE) IS NULL AND TRY_CAST(o_orderpriority AS TIMESTAMP) IS NOT NULL) AS DOUBLE) / count(o_orderpriority) FROM orders_text
+  UNION ALL SELECT 'price_text', CAST(count(*) FILTER (WHERE TRY_CAST(trim(price_text) AS DOUBLE) IS NULL AND TRY_CAST(price_text AS TIMESTAMP) IS NOT NULL) AS DOUBLE) / count(price_text) FROM orders_text
+  UNION ALL SELECT 'date_text', CAST(count(*) FILTER (WHERE TRY_CAST(trim(date_text) AS DOUBLE) IS NULL AND TRY_CAST(date_text AS TIMESTAMP) IS NOT NULL) AS DOUBLE) / count(date_text) FROM orders_text
+) WHERE share > 0.8
 """)
 def quality_dtype_issues(spark, sf):
-    return Q.quality_dtype_issues(derived(spark, sf, "orders_text"), order_by=["o_orderkey"])
+    return Q.quality_dtype_issues(derived(spark, sf, "orders_text"))
 
 
 @query("quality_constant", sql=_constant_sql("lineitem", LINEITEM_ALL, LINEITEM_TXT))

@@ -51,12 +51,10 @@ WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDE
                   OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT * FROM (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
-               FROM s GROUP BY user_id, sid)
--- append mode emits a session once the watermark (latest event time, zero delay) passes its end
-WHERE session_end <= (SELECT max(ts) FROM events)""")
+               FROM s GROUP BY user_id, sid)""")
 def stream_session(spark, sf):
     path, schema = _src(spark, sf)
-    return S.session_job(spark, path, schema, "ts", "user_id", "30 minutes", watermark="0 seconds", name="session")
+    return S.session_job(spark, path, schema, "ts", "user_id", "30 minutes", name="session")
 
 
 @query("stream_zscore", sql="""

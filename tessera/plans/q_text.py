@@ -109,11 +109,10 @@ def tfidf_vectors(spark, sf):
 _CV = f"""tc AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_clean_sql('text')}) AS token FROM documents) GROUP BY 1, 2)"""
 
 
-@query("count_vectors", sql=f"""WITH {_CV},
-v AS (SELECT token FROM tc GROUP BY token ORDER BY sum(tf) DESC, token LIMIT 1000)
-SELECT doc_id, token AS term, tf AS count FROM tc JOIN v USING (token)""")
+@query("count_vectors", sql=f"""WITH {_CV}
+SELECT doc_id, token AS term, tf AS count FROM tc""")
 def count_vectors(spark, sf):
-    return X.count_vectors(_docs(spark, sf), vocab_size=1000)
+    return X.count_vectors(_docs(spark, sf))
 
 
 @query("vector_sparsity", sql=f"""WITH {_CV}
