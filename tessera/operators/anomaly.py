@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.quantiles import exact_quantiles
 from ..functions.stats import as_double, numeric_columns, rnd
 from .quality import iqr_fences
 
@@ -54,12 +55,12 @@ def mad_flags(df: DataFrame, columns: list[str] | None = None,
               threshold: float = CONFIG.modified_z_threshold) -> DataFrame:
     """A2: modified z = 0.6745 (x - median) / MAD > threshold in any column (two exact medians)."""
     cols = columns or numeric_columns(df)
-    med = df.agg(*[F.percentile(as_double(c), 0.5).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    mads = df.agg(*[F.percentile(F.abs(as_double(c) - F.lit(med[f"m{i}"])), 0.5).alias(f"d{i}")
-                    for i, c in enumerate(cols)]).first()
+    med = {c: q and q[0] for c, q in exact_quantiles(df, {c: as_double(c) for c in cols}, [0.5]).items()}
+    mads = {c: q and q[0] for c, q in exact_quantiles(
+        df, {c: F.abs(as_double(c) - F.lit(med[c])) for c in cols}, [0.5]).items()}
     zs = []
     for i, c in enumerate(cols):
-        m, d = med[f"m{i}"], mads[f"d{i}"]
+        m, d = med[c], mads[c]
         zs.append(F.lit(None).cast("double") if not d else
                   F.abs(F.lit(CONFIG.modified_z_constant) * (as_double(c) - F.lit(m)) / F.lit(d)))
     hit = reduce(lambda a, b: a | b, [F.coalesce(z > threshold, F.lit(False)) for z in zs])

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import CONFIG
+from ..functions.quantiles import exact_quantiles
 from ..functions.stats import as_double, numeric_columns, rnd, safe_corr
-from .quality import iqr_fences
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None,
@@ -41,21 +42,23 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None,
 def histogram_stats(df: DataFrame, column: str) -> DataFrame:
     """V1 stats: count, mean, std (ddof 1), min, max, median."""
     x = as_double(column)
+    middle = exact_quantiles(df, {column: x}, [0.5])[column] or [None]
     return df.agg(F.count(x).alias("count"), rnd(F.avg(x), 4).alias("mean"), rnd(F.stddev_samp(x), 4).alias("std"),
                   rnd(F.min(x), 4).alias("min"), rnd(F.max(x), 4).alias("max"),
-                  rnd(F.percentile(x, 0.5), 4).alias("median"))
+                  rnd(F.max(F.lit(middle[0]).cast("double")), 4).alias("median"))
 
 
 def box_plot(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """V2: quartiles, whiskers (most extreme values inside the 1.5 IQR fences), mean, std, outliers."""
     from .profile import long_agg
     cols = columns or numeric_columns(df)
-    fences = iqr_fences(df, cols)
+    quarters = exact_quantiles(df, {c: as_double(c) for c in cols}, [0.25, 0.5, 0.75])
     spec = {}
     for c in cols:
         x = as_double(c)
-        lo, hi = fences[c]
-        spec[c] = {"q": F.percentile(x, [0.25, 0.5, 0.75]),
+        q1, q2, q3 = quarters[c] or [None] * 3
+        lo, hi = (None, None) if q1 is None else (q1 - CONFIG.iqr_multiplier * (q3 - q1), q3 + CONFIG.iqr_multiplier * (q3 - q1))
+        spec[c] = {"q": F.max(F.array(*[F.lit(v).cast("double") for v in (q1, q2, q3)])),
                    "whisker_low": F.min(F.when(x >= F.lit(lo), x)), "whisker_high": F.max(F.when(x <= F.lit(hi), x)),
                    "mean": F.avg(x), "std": F.stddev_samp(x),
                    "n_outliers": F.count_if((x < F.lit(lo)) | (x > F.lit(hi)))}

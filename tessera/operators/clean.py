@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.quantiles import exact_modes, exact_quantiles
 from ..functions.ranking import ranged
 from ..functions.stats import as_double, is_numeric_type, numeric_columns
 from .quality import iqr_fences
@@ -34,7 +35,7 @@ def _fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
 
 
 def impute_values(df: DataFrame, strategy: str, columns: list[str] | None = None) -> dict[str, object]:
-    """Fit: {column: fill value} for mean / median / mode / zero, from one aggregate."""
+    """Fit: {column: fill value} for mean / median / mode / zero."""
     cols = columns or df.columns
     num = [c for c in cols if is_numeric_type(df.schema[c].dataType)]
     if strategy == "zero":
@@ -42,12 +43,12 @@ def impute_values(df: DataFrame, strategy: str, columns: list[str] | None = None
     if strategy in ("mean", "median"):
         if not num:
             return {}
-        agg = F.avg if strategy == "mean" else (lambda c: F.percentile(as_double(c), 0.5))
-        row = df.agg(*[agg(c).alias(f"v{i}") for i, c in enumerate(num)]).first()
+        if strategy == "median":
+            return {c: q and q[0] for c, q in exact_quantiles(df, {c: as_double(c) for c in num}, [0.5]).items()}
+        row = df.agg(*[F.avg(c).alias(f"v{i}") for i, c in enumerate(num)]).first()
         return {c: row[f"v{i}"] for i, c in enumerate(num)}
     if strategy == "mode":
-        row = df.agg(*[F.mode(c, True).alias(f"v{i}") for i, c in enumerate(cols)]).first()
-        return {c: row[f"v{i}"] for i, c in enumerate(cols)}
+        return exact_modes(df, cols)
     raise ValueError(f"unknown impute strategy {strategy!r}")
 
 

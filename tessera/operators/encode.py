@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import global_row_number
 from ..functions.stats import as_double, numeric_columns
 
@@ -33,9 +34,8 @@ def scale_fit(df: DataFrame, columns: list[str], method: str = "standard") -> di
         fit = {c: (row[f"a{i}"], (row[f"b{i}"] - row[f"a{i}"]) if row[f"a{i}"] is not None else None)
                for i, c in enumerate(cols)}
     elif method == "robust":
-        row = df.agg(*[F.percentile(x[c], [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        fit = {c: (row[f"q{i}"][1], row[f"q{i}"][2] - row[f"q{i}"][0]) if row[f"q{i}"] else (None, None)
-               for i, c in enumerate(cols)}
+        quarters = exact_quantiles(df, {c: x[c] for c in cols}, [0.25, 0.5, 0.75])
+        fit = {c: (q[1], q[2] - q[0]) if q else (None, None) for c, q in quarters.items()}
     else:
         raise ValueError(f"unknown scaling method {method!r}")
     # a zero scale is replaced by 1 (constant columns map to 0)

@@ -18,26 +18,24 @@ from ..functions.stats import as_double, rnd
 EPS = 2.220446049250313e-16  # fixed value: float64 machine epsilon (MAPE floor)
 
 
-def _classes(df: DataFrame, label: str, prediction: str) -> list:
-    """Sorted class values appearing as label or prediction (bounded by the number of classes)."""
+def _classes(df: DataFrame, label: str, prediction: str, most: int = 1000) -> list:
+    """Sorted class values appearing as label or prediction; more than ``most`` are an error (no class labels then)."""
     vals = (df.select(F.col(label).cast("string").alias("c")).union(df.select(F.col(prediction).cast("string")))
-            .where(F.col("c").isNotNull()).distinct().collect())
+            .where(F.col("c").isNotNull()).distinct().limit(most + 1).collect())
+    if len(vals) > most:
+        raise ValueError(f"more than {most} distinct labels: is {label} a class label?")
     return sorted(r[0] for r in vals)
 
 
 def per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(class, tp, fp, fn, support) for every class: one aggregate per class value."""
-    y, p = F.col(label).cast("string"), F.col(prediction).cast("string")
-    rows = []
-    classes = _classes(df, label, prediction)
-    aggs = []
-    for i, c in enumerate(classes):
-        aggs += [F.count_if((y == c) & (p == c)).alias(f"tp{i}"), F.count_if((y != c) & (p == c)).alias(f"fp{i}"),
-                 F.count_if((y == c) & (p != c)).alias(f"fn{i}"), F.count_if(y == c).alias(f"s{i}")]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("class"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"),
-                     F.col(f"fn{i}").alias("fn"), F.col(f"s{i}").alias("support")) for i, c in enumerate(classes)]
-    t = one.select(F.inline(F.array(*rows)))
+    """(class, tp, fp, fn, support) for every class, from the counts of (label, prediction) pairs."""
+    cells = (df.select(F.col(label).cast("string").alias("y"), F.col(prediction).cast("string").alias("p"))
+             .groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")))
+    hit, both = F.col("y") == F.col("p"), F.col("y").isNotNull() & F.col("p").isNotNull()
+    told = cells.where("y is not null").groupBy(F.col("y").alias("class")).agg(
+        F.sum("n").alias("support"), F.sum(F.when(hit, F.col("n"))).alias("tp"), F.sum(F.when(both & ~hit, F.col("n"))).alias("fn"))
+    said = cells.where("p is not null").groupBy(F.col("p").alias("class")).agg(F.sum(F.when(both & ~hit, F.col("n"))).alias("fp"))
+    t = told.join(said, "class", "full").select("class", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn", "support")])
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType
 
 from ..functions.topk import top_k_per_group
+from ..functions.quantiles import exact_quantiles
 from ..functions.stats import (rnd, 
     as_double, dtype_group, is_numeric_type, numeric_columns, sample_skew, string_columns,
 )
@@ -105,11 +106,12 @@ def preview(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Q3: count, mean, std (ddof 1), min, quartiles, max per numeric column."""
     cols = cols or numeric_columns(df)
+    exact = {} if approx else exact_quantiles(df, {c: as_double(c) for c in cols}, [0.25, 0.5, 0.75])
     spec = {}
     for c in cols:
         x = as_double(c)
         q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-             else F.percentile(x, [0.25, 0.5, 0.75]))
+             else F.max(F.array(*[F.lit(v).cast("double") for v in exact[c] or [None] * 3])))
         spec[c] = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x),
                    "min": F.min(x), "q": q, "max": F.max(x)}
     out = long_agg(df, spec)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.quantiles import exact_quantiles
 from ..functions.stats import rnd, as_double, numeric_columns, safe_corr, string_columns
 from .profile import distinct_counts, long_agg
 
@@ -22,15 +23,12 @@ ISSUE_SCHEMA = "issue_type string, column_name string, severity string, count lo
 
 # ---------------------------------------------------------------- fit helpers
 def quartiles(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, tuple]:
-    """{column: (q1, q3)} with linear interpolation; one aggregate, one row collected."""
+    """{column: (q1, q3)} with linear interpolation."""
     if not cols:
         return {}
-    exprs = []
-    for i, c in enumerate(cols):
-        x = as_double(c)
-        q = F.percentile_approx(x, [0.25, 0.75], 10000) if approx else F.percentile(x, [0.25, 0.75])
-        exprs.append(q.alias(f"q{i}"))
-    row = df.agg(*exprs).first()
+    if not approx:
+        return {c: tuple(q) if q else (None, None) for c, q in exact_quantiles(df, {c: as_double(c) for c in cols}, [0.25, 0.75]).items()}
+    row = df.agg(*[F.percentile_approx(as_double(c), [0.25, 0.75], 10000).alias(f"q{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"q{i}"][0], row[f"q{i}"][1]) if row[f"q{i}"] is not None else (None, None)
             for i, c in enumerate(cols)}
 
