@@ -161,3 +161,31 @@ def anomaly_eval(df: DataFrame, label: str, flag: str) -> DataFrame:
 
 def union_all(frames):
     return reduce(DataFrame.unionByName, frames)
+
+
+def roc_auc_ovr(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
+    """One-vs-rest ROC AUC of each class (its score column named by ``scores``) and their mean weighted by support."""
+    parts = [roc_auc(df.withColumn("_one", (F.col(label) == F.lit(c)).cast("int")), "_one", s).select(
+        F.lit(c).alias("class"), "roc_auc", F.col("positives").alias("support")) for c, s in scores.items()]
+    from functools import reduce
+    each = reduce(DataFrame.unionByName, parts)
+    mean = each.agg(F.lit("__weighted__").alias("class"), rnd(F.try_divide(F.sum(F.col("roc_auc") * F.col("support")), F.sum("support")), 4).alias("roc_auc"),
+                    F.sum("support").alias("support"))
+    return each.unionByName(mean)
+
+
+def davies_bouldin(df: DataFrame, features: list[str], cluster: str, most: int = 1000) -> DataFrame:
+    """Mean over clusters of the worst (spread_i + spread_j) / distance of centroids.
+
+    Two grouped aggregations give one row for each cluster; those (at most ``most``) are compared on the driver.
+    """
+    x = [as_double(c) for c in features]
+    centres = df.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("_c")).agg(F.array(*[F.avg(e) for e in x]).alias("_m"))
+    d2 = sum(((e - F.get("_m", F.lit(i))) ** 2 for i, e in enumerate(x)), F.lit(0.0))
+    rows = df.join(centres, F.col(cluster) == F.col("_c")).groupBy("_c").agg(
+        F.first("_m").alias("m"), F.avg(F.sqrt(d2)).alias("s")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} clusters")
+    worst = [max(((a.s + b.s) / gap for b in rows if b is not a and (gap := sum((p - q) ** 2 for p, q in zip(a.m, b.m)) ** 0.5)), default=0.0) for a in rows]
+    value = sum(worst) / len(worst) if len(worst) > 1 else None
+    return df.sparkSession.createDataFrame([(len(rows), value)], "n_clusters long, davies_bouldin double").select("n_clusters", rnd("davies_bouldin", 4).alias("davies_bouldin"))

@@ -202,3 +202,29 @@ def neighbors(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int =
     sub = (edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
            .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     return reached, sub
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """Weighted clustering coefficient of each node: the sum over its triangles of the cube root of the
+    three weights (each divided by the largest weight), over its number of neighbour pairs.
+
+    Each triangle is found once: edges point from the node of lower (degree, id) to the higher one, so a hub
+    has few outgoing edges, and two outgoing edges of a node are closed by a third.
+    """
+    e = (edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), as_double("weight").alias("w"))
+         .groupBy("a", "b").agg(F.sum("w").alias("w")))
+    most = e.agg(F.max("w")).first()[0] or 1.0
+    deg = e.select("a").union(e.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+    both = (e.join(deg.select(F.col("id").alias("a"), F.col("d").alias("da")), "a")
+            .join(deg.select(F.col("id").alias("b"), F.col("d").alias("db")), "b"))
+    up = F.struct("da", "a") < F.struct("db", "b")
+    arcs = both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"),
+                       F.when(up, F.col("db")).otherwise(F.col("da")).alias("dv"), (F.col("w") / F.lit(most)).alias("w"))
+    one, two = arcs.select("u", F.col("v").alias("x"), F.col("dv").alias("dx"), F.col("w").alias("w1")), \
+        arcs.select("u", F.col("v").alias("y"), F.col("dv").alias("dy"), F.col("w").alias("w2"))
+    wedges = one.join(two, "u").where(F.struct("dx", "x") < F.struct("dy", "y"))
+    closed = wedges.join(arcs.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("w").alias("w3")), ["x", "y"])
+    per = closed.select(F.explode(F.array("u", "x", "y")).alias("id"), F.pow(F.col("w1") * F.col("w2") * F.col("w3"), F.lit(1.0 / 3)).alias("t"))
+    total = per.groupBy("id").agg(F.sum("t").alias("t"))
+    return deg.join(total, "id", "left").select("id", rnd(F.when(F.col("d") > 1, F.coalesce("t", F.lit(0.0)) * 2 / (F.col("d") * (F.col("d") - 1)))
+                                                          .otherwise(F.lit(0.0)), 4).alias("clustering"))

@@ -225,3 +225,47 @@ def best_model(errors: DataFrame, key=None) -> DataFrame:
 
 def union_all(frames):
     return reduce(DataFrame.unionByName, frames)
+
+
+# Critical values of the KPSS statistic for a constant level.
+KPSS_CRITICAL = {"10%": 0.347, "5%": 0.463, "2.5%": 0.574, "1%": 0.739}
+
+
+def kpss(s: DataFrame, lags: int | None = None) -> DataFrame:
+    """TS12: KPSS statistic of one series (ts, value) for a constant level, with the lag number chosen from the data.
+
+    Residuals are numbered and summed up over several ranges; autocovariances are a join of the numbered rows
+    with themselves at each lag, so nothing needs the whole series in one task.
+    """
+    from ..functions.ranking import global_prefix_sums
+    mean, n = s.agg(F.avg("value"), F.count("value")).first()
+    if not n:
+        raise ValueError("the series has no values")
+    r = s.where(F.col("value").isNotNull()).select("ts", (F.col("value") - F.lit(mean)).alias("e"))
+    run = global_prefix_sums(r, [F.col("ts")], {"i": F.lit(1), "c": F.col("e")})
+    eta, var = run.agg(F.sum(F.col("c") * F.col("c")) / F.lit(float(n) ** 2), F.sum(F.col("e") * F.col("e"))).first()
+
+    def products(most: int) -> dict[int, float]:
+        if most < 1:
+            return {}
+        ahead = run.select(F.col("e").alias("e2"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag"), F.col("i").alias("j"))
+        pairs = ahead.withColumn("i", F.col("j") - F.col("lag")).join(run.select("i", "e"), "i")
+        return {x.lag: x.p for x in pairs.groupBy("lag").agg(F.sum(F.col("e") * F.col("e2")).alias("p")).collect()}
+
+    if lags is None:
+        short = products(int(n ** (2 / 9)))
+        s0 = var / n + sum(p / (n / 2) for p in short.values())
+        s1 = sum(k * p / (n / 2) for k, p in short.items())
+        lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1) if s0 else 0
+    longrun = (var + 2 * sum((1 - k / (lags + 1)) * p for k, p in products(lags).items())) / n
+    stat = eta / longrun if longrun else None
+    out = s.sparkSession.createDataFrame([(stat, lags, n)], "statistic double, lags_used long, n_obs long")
+    return out.select(rnd("statistic", 4).alias("statistic"), "lags_used", "n_obs",
+                      (F.col("statistic") < KPSS_CRITICAL["5%"]).alias("is_stationary"))
+
+
+def stationarity_verdict(adf_stationary, kpss_stationary):
+    """TS13: the verdict from the two tests' flags (columns)."""
+    a, k = F.coalesce(adf_stationary.cast("int"), F.lit(-1)), F.coalesce(kpss_stationary.cast("int"), F.lit(-1))
+    return (F.when((a == 1) & (k == 1), "stationary").when((a == 0) & (k == 0), "non_stationary")
+            .when((a == 1) & (k == 0), "trend_stationary").when((a == 0) & (k == 1), "difference_stationary").otherwise("inconclusive"))
