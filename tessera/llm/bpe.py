@@ -5,7 +5,8 @@ each merge rank that some adjacent pair has; a bucket holds the linked-list posi
 of its pairs, leftmost first. Two levels of 256-bit words say which buckets are not
 empty, so the next rank is two find-first-set steps, whatever the length. An entry
 whose position has meanwhile another pair is stale and is skipped. A pre-token of n
-bytes costs O(n log n) at most: one of a megabyte is no special case.
+bytes costs O(n log n) at most: one of a megabyte is no special case. All new pre-tokens
+of a batch share one queue: the lowest rank of all is the lowest of each that has it.
 
 Texts are first cut at every space that is followed by the next chunk; the pattern can
 never match across such a cut, so equal chunks have equal ids and each worker remembers
@@ -21,7 +22,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heappop, heappush
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,122 +43,174 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
+    """Encoder and decoder for one vocabulary, with what it has seen last."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.pairs = np.full(1 << 16, -1, np.int64)  # rank of each two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
         self.split = regex.compile(pattern).findall
-        self.words = [0] * ((len(self.tokens) >> 8) + 1)  # of the queue: bits of its buckets; all 0 between pre-tokens
-        self.chunks = _Recent(self._chunk)
-        self.pieces = _Recent(lambda piece: np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes())
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token. The queue's steps stand in line: a call for each costs more than the step."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        n, get, words = len(piece), ranks.get, self.words
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [get(piece[i:i + 2]) for i in range(n - 1)]
-        pair.append(None)
-        top, buckets = 0, {}  # a bit for each word that is not 0; positions by rank
-        for i, rank in enumerate(pair):
-            if rank is None:
-                continue
-            if rank in buckets:
-                buckets[rank].append(i)  # positions come in order: a heap already
-            else:
-                buckets[rank] = [i]
-                words[rank >> 8] |= BIT[rank & 255]
-                top |= BIT[rank >> 8]
+        self.words = [0] * ((len(self.tokens) >> 8) + 1)  # of the queue: a bit for each bucket; all 0 between calls
+        self.chunks, self.pieces = _Recent(), _Recent()
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token. All lie one after the other in one list of positions, with an edge
+        between them that no pair crosses, and share one queue: a bucket has the positions of all of them."""
+        data = b"\0" + b"\0".join(pieces) + b"\0"
+        n, get, words = len(data), self.ranks.get, self.words
+        ends = np.cumsum([0, *(len(p) + 1 for p in pieces)])
+        edge = np.zeros(n, bool)
+        edge[ends] = True
+        codes = np.frombuffer(data, np.uint8).astype(np.int64)
+        first = self.pairs[codes[:-1] << 8 | codes[1:]]
+        first[edge[:-1] | edge[1:]] = -1
+        pair = [*first.tolist(), -1]
+        held = np.flatnonzero(first >= 0)
+        held = held[np.argsort(first[held], kind="stable")]
+        cuts = np.flatnonzero(np.diff(first[held], prepend=-1))
+        buckets = {first[held[c]].item(): held[c:e].tolist() for c, e in zip(cuts, [*cuts[1:], len(held)])}
+        edge, after, before = edge.tobytes(), list(range(1, n + 1)), list(range(-1, n - 1))
+        top = 0
+        for rank in buckets:
+            words[rank >> 8] |= BIT[rank & 255]
+            top |= BIT[rank >> 8]
         while top:
             low = (top & -top).bit_length() - 1  # find first set, twice
             bits = words[low]
             rank = (low << 8) + (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
-                del buckets[rank]
-                words[low] = bits = bits & (bits - 1)
-                if not bits:
-                    top &= top - 1
-            if pair[i] != rank:
-                continue  # stale: the position has another pair now, or was merged away
-            gone = after[i]
-            right = after[i] = after[gone]
-            pair[gone] = pair[i] = None
-            left = before[i]
-            if right < n:
-                before[right] = i
-                changed = (i, left) if left >= 0 else (i,)
-            elif left >= 0:
-                changed = (left,)
+            words[low] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            for k, i in enumerate(bucket):
+                if pair[i] != rank:
+                    continue  # stale: the position has another pair now, or was merged away
+                gone = after[i]
+                right = after[i] = after[gone]
+                pair[gone] = pair[i] = -1
+                left, lower = before[i], False
+                if not edge[right]:
+                    before[right] = i
+                    pair[i] = new = get(data[i:after[right]], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            words[new >> 8] |= BIT[new & 255]
+                            top |= BIT[new >> 8]
+                        lower = new <= rank
+                if not edge[left]:
+                    pair[left] = new = get(data[left:right], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            buckets[new] = [left]
+                            words[new >> 8] |= BIT[new & 255]
+                            top |= BIT[new >> 8]
+                        lower = lower or new <= rank
+                if lower:  # a new pair comes first: the rest of the bucket waits
+                    buckets[rank] = bucket[k + 1:] + buckets.get(rank, [])
+                    if buckets[rank]:
+                        words[rank >> 8] |= BIT[rank & 255]
+                        top |= BIT[rank >> 8]
+                    else:
+                        del buckets[rank]
+                    break
+        out, i = [], 1
+        for end in ends[1:].tolist():
+            ids = []
+            while i < end:
+                ids.append(get(data[i:after[i]]))
+                i = after[i]
+            out.append(_packed(ids))
+            i += 1
+        return out
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Packed ids of texts none of which needs a cut at blanks; remembers them."""
+        split = {c: self.split(c) for c in chunks}
+        known, new = {}, []
+        for piece in {p for ps in split.values() for p in ps}:
+            ids = self.pieces.find(piece)
+            if ids is None:
+                new.append(piece)
             else:
-                continue
-            for at in changed:
-                new = get(piece[at:after[after[at]]])
-                pair[at] = new
-                if new is None:
-                    continue
-                if new in buckets:
-                    heappush(buckets[new], at)
-                else:
-                    buckets[new] = [at]
-                    words[new >> 8] |= BIT[new & 255]
-                    top |= BIT[new >> 8]
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i:after[i]]])
-            i = after[i]
-        return ids
-
-    def pack(self, text: str) -> bytes:
-        """Ids of a text without the cut at blanks, as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace():
-            raise _WhiteRun
-        return self.pack(" " + chunk)
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            packed = b"".join(map(self.chunks.__getitem__, rest)) if first else None
-        except _WhiteRun:
-            packed = None
-        if packed is None:  # cut only before a blank that a word follows: a boundary in any case
-            return b"".join(map(self.pack, regex.split(r"(?= \S)", text, flags=regex.V1)))
-        return self.pack(first) + packed
+                known[piece] = ids
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        todo = [i for i, r in enumerate(raw) if r not in self.ranks]
+        made = {new[i]: _packed([self.ranks[r]]) for i, r in enumerate(raw) if r in self.ranks}
+        made.update(zip((new[i] for i in todo), self.merge([raw[i] for i in todo])))
+        self.pieces.add(made)
+        known.update(made)
+        return {c: b"".join([known[p] for p in ps]) for c, ps in split.items()}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Texts are cut before each blank that a word follows: always a boundary. A chunk is known by what follows the blank.
+        """
+        cut, fresh, known = [], set(), {}
+        for text in texts:
+            first, *rest = (text or "").split(" ")
+            cut.append((first, rest))
+            fresh.update(rest)
+        white = {c for c in fresh if not c or c[0].isspace()}  # after a blank: such a cut may be no boundary
+        if white or not all(f for f, _ in cut):
+            fresh -= white
+            for i, (first, rest) in enumerate(cut):
+                if rest and not (first and white.isdisjoint(rest)):
+                    parts = regex.split(r"(?= \S)", texts[i], flags=regex.V1)
+                    cut[i] = parts[0], [p[1:] for p in parts[1:]]
+                    fresh.update(cut[i][1])
+        for chunk in fresh:
+            ids = self.chunks.find(chunk)
+            if ids is not None:
+                known[chunk] = ids
+        missing = [c for c in fresh if c not in known]
+        heads = {f for f, _ in cut if f}
+        learned = self._learn({" " + c for c in missing} | heads)
+        made = {c: learned[" " + c] for c in missing}
+        self.chunks.add(made)
+        known.update(made)
+        return [(learned[f] if f else b"") + b"".join(map(known.__getitem__, rest)) for f, rest in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _WhiteRun(Exception):
-    """White space after a blank: the cut between them may be no boundary."""
+def _packed(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
-class _Recent(dict):
-    """``make(key)``, remembered for at least the last ``CACHE`` new keys, at most twice as many."""
+class _Recent:
+    """What was added last: at least ``CACHE`` entries, at most about twice as many."""
 
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
+    def __init__(self):
+        self.new, self.old = {}, {}
+
+    def find(self, key: str) -> bytes | None:
+        ids = self.new.get(key)
+        if ids is None and (ids := self.old.get(key)) is not None:
+            self.new[key] = ids
+        return ids
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) < 64:
-            if len(self) >= CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+    def add(self, entries: dict[str, bytes]) -> None:
+        if len(self.new) >= CACHE:
+            self.new, self.old = {}, self.new
+        for key, ids in entries.items():
+            if len(key) < 64:
+                self.new[key] = ids
 
 
 _codecs: dict[str, Codec] = {}
@@ -203,7 +257,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
 
     def work(values):
         codec = _codec(key, shared, pattern)
-        return [pa.array([codec.encode(v) if v else b"" for v in values], pa.binary())]
+        return [pa.array(codec.encode(values), pa.binary())]
 
     return _mapped(df, text_col, [T.StructField(ids_col, T.BinaryType())], work)
 

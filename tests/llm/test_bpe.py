@@ -29,15 +29,24 @@ def test_random_texts_match(seed):
     for alphabet in ("ab c\n\t ", "aé 1.  \x1c\x85 '", "thers  \r\n", "日本語 の😀 x ", "   \n"):
         for n in (0, 1, 2, 7, 40, 300):
             text = "".join(rng.choice(alphabet) for _ in range(n))
-            ids = codec.encode(text) if text else b""
+            ids, = codec.encode([text])
             assert ids == packed(ORACLE.encode_ordinary(text)), text
             assert codec.decode(ids) == text.encode()
 
 
+def test_many_texts_share_one_queue():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("therinaéß1 ,\n") for _ in range(rng.randrange(60))) for _ in range(800)] + [None, " ", "a  b", "  a"]
+    codec = bpe.Codec(RANKS, P.PATTERN)
+    for _ in range(2):  # the second time from what it remembers
+        assert codec.encode(texts) == [packed(ORACLE.encode_ordinary(t or "")) for t in texts]
+    assert not any(codec.words)
+
+
 def test_very_long_pretoken_without_blanks():
     codec = bpe.Codec(RANKS, P.PATTERN)
     for text in ("a" * 30_000, "the" * 9_000 + "ing" * 4_000, "#$" * 8_000):
-        assert codec.encode(text) == packed(ORACLE.encode_ordinary(text))
+        assert codec.encode([text]) == [packed(ORACLE.encode_ordinary(text))]
     assert not any(codec.words)
 
 
