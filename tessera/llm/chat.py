@@ -79,47 +79,55 @@ def as_replies(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
             .select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")))
 
 
-def jumps(messages: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
-    """Jump tables (tree, node, jump, steps), k-th: 2**k messages up where steps = 2**k; and the last one
-    with ``total``, the scores of the path below its root."""
+def _links(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jumps of one step, roots): a message whose parent is missing is a root."""
     known = messages.select(F.col("tree").alias("t"), F.col("node").alias("there"))
-    found = F.col("there").isNotNull()
-    table = (messages.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("there")), "left")
-             .select("tree", "node", F.coalesce("there", "node").alias("jump"), found.cast("long").alias("steps"),
-                     F.when(found, F.col("score").cast("double")).otherwise(F.lit(0.0)).alias("total")))
-    size = messages.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    tables = [scratch.keep(table, "jump0")]
-    while 2 ** (len(tables) - 1) < size:
-        k, last = len(tables), tables[-1]
-        if not last.where(F.col("steps") == 2 ** (k - 1)).limit(1).count():
+    both = messages.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("there")), "left")
+    score = F.col("score").cast("double")
+    return (both.where("there is not null").select("tree", "node", F.col("there").alias("jump"), score.alias("total")),
+            both.where("there is null").select(F.col("tree").alias("rt"), F.col("node").alias("root"), score.alias("own")))
+
+
+def _up(table: DataFrame) -> DataFrame:
+    return table.select(F.col("tree").alias("t"), F.col("node").alias("at"), F.col("jump").alias("above"), F.col("total").alias("gain"))
+
+
+def jumps(steps: DataFrame, size: int, scratch: Scratch) -> list[DataFrame]:
+    """Jump tables (tree, node, jump, total): the k-th has the messages with 2**k others above them, the message
+    2**k up, and the scores in between. Each is the one before joined with itself, and smaller."""
+    tables = [scratch.keep(steps, "jump0")]
+    while 2 ** len(tables) < size:
+        last = tables[-1]
+        longer = (last.join(_up(last), F.col("tree").eqNullSafe(F.col("t")) & (F.col("jump") == F.col("at")))
+                  .select("tree", "node", F.col("above").alias("jump"), (F.col("total") + F.col("gain")).alias("total")))
+        longer = scratch.keep(longer, f"jump{len(tables)}")
+        if not longer.limit(1).count():
             break
-        up = last.select(F.col("tree").alias("t"), F.col("node").alias("at"), F.col("jump").alias("further"),
-                         F.col("steps").alias("more"), F.col("total").alias("gain"))
-        longer = (last.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("jump") == F.col("at")))
-                  .select("tree", "node", F.col("further").alias("jump"), (F.col("steps") + F.col("more")).alias("steps"),
-                          (F.col("total") + F.col("gain")).alias("total")))
-        tables.append(scratch.keep(longer, f"jump{k}"))
-    return tables, tables[-1]
+        tables.append(longer)
+    return tables
 
 
 def best_paths(messages: DataFrame, top: int, scratch: Scratch) -> DataFrame:
     """Rows (tree, leaf, rank, depth, node) of the ``top`` best paths of each root."""
-    tables, last = jumps(messages, scratch)
+    size = messages.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    steps, roots = _links(messages)
+    tables = jumps(steps, size, scratch)
     answered = messages.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    own = messages.select(F.col("tree").alias("rt"), F.col("node").alias("root"), F.col("score").cast("double").alias("own"))
-    roots = (tables[0].where("steps = 0").select(F.col("tree").alias("t0"), F.col("node").alias("n0"))
-             .join(own, F.col("t0").eqNullSafe(F.col("rt")) & (F.col("n0") == F.col("root"))).select("rt", "root", "own"))
-    leaves = (last.join(answered, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
-              .join(roots, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("jump") == F.col("root")))
-              .select("tree", "root", F.col("node").alias("leaf"), F.col("steps").alias("depth"),
-                      F.round((F.col("total") + F.col("own")) / (F.col("steps") + 1), 9).alias("mean")))
+    climb = (messages.join(answered, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+             .select("tree", F.col("node").alias("leaf"), F.col("node").alias("now"), F.lit(0).cast("long").alias("depth"), F.lit(0.0).alias("sum")))
+    for k in reversed(range(len(tables))):  # from every leaf to its root, by the largest jumps that there are
+        climb = (climb.join(_up(tables[k]), F.col("tree").eqNullSafe(F.col("t")) & (F.col("now") == F.col("at")), "left")
+                 .select("tree", "leaf", F.coalesce("above", "now").alias("now"),
+                         (F.col("depth") + F.when(F.col("at").isNotNull(), 2 ** k).otherwise(0)).alias("depth"),
+                         (F.col("sum") + F.coalesce("gain", F.lit(0.0))).alias("sum")))
+    leaves = climb.join(roots, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("now") == F.col("root"))).select(
+        "tree", "root", "leaf", "depth", F.round((F.col("sum") + F.col("own")) / (F.col("depth") + 1), 9).alias("mean"))
     best = Window.partitionBy("tree", "root").orderBy(F.col("mean").desc(), "leaf")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     members = scratch.keep(chosen.select("tree", "leaf", "rank", "depth", F.col("leaf").alias("node")), "path")
     for k in reversed(range(len(tables))):
-        up = tables[k].where(F.col("steps") == 2 ** k).select(F.col("tree").alias("t"), F.col("node").alias("at"), "jump")
-        above = members.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("at"))).select(
-            "tree", "leaf", "rank", (F.col("depth") - 2 ** k).alias("depth"), F.col("jump").alias("node"))
+        above = members.join(_up(tables[k]), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("at"))).select(
+            "tree", "leaf", "rank", (F.col("depth") - 2 ** k).alias("depth"), F.col("above").alias("node"))
         members = scratch.keep(members.unionByName(above), f"path{k}")
     return members
 
