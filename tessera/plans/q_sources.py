@@ -34,6 +34,11 @@ def sample_n(spark, sf):
     return R.sample_n(df, 500, key).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("sample_rows")
+def sample_rows(spark, sf):
+    return R.sample_n(table(spark, sf, "lineitem"), 500, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"])
+
+
 @query("extract_table", sql="SELECT * FROM customer")
 def extract_table(spark, sf):
     register_views(spark, sf, ["customer"])

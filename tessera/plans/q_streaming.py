@@ -72,7 +72,25 @@ def stream_predictions(spark, sf):
     return S.predictions_job(spark, path, schema, ["event_id", "ts", "value"])
 
 
-@query("stream_running_z")
+@query("stream_running_z", sql="""
+SELECT user_id, ts, event_id, round(CASE WHEN var_samp(value) OVER w > 1e-12
+         THEN abs(value - avg(value) OVER w) / sqrt(var_samp(value) OVER w) END, 4) AS z
+FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def stream_running_z(spark, sf):
     path, schema = _src(spark, sf)
-    return S.running_stats_job(spark, path, schema, "user_id", "ts", "value")
+    return _r4(S.running_stats_job(spark, path, schema, "user_id", "ts", "value", "event_id"), ["z"])
+
+
+_RULES = [(1, "purchase", ">", 90.0, "warning", True), (2, "error", ">=", 50.0, "critical", True),
+          (3, "view", "<", 2.0, "info", True), (4, "click", ">", 0.0, "info", False)]
+_RULE_ROWS = ", ".join(f"({i}, '{m}', '{op}', {t}, '{s}', {str(on).lower()})" for i, m, op, t, s, on in _RULES)
+
+
+@query("stream_alerts", sql=f"""
+SELECT DISTINCT CAST(rule_id AS BIGINT) AS rule_id, severity, user_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket
+FROM events JOIN (VALUES {_RULE_ROWS}) r(rule_id, metric_name, op, threshold, severity, enabled) ON event_type = metric_name
+WHERE enabled AND CASE op WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold WHEN '<' THEN value < threshold END""")
+def stream_alerts(spark, sf):
+    path, schema = _src(spark, sf)
+    rules = spark.createDataFrame(_RULES, "rule_id long, metric_name string, operator string, threshold double, severity string, enabled boolean")
+    return S.alerts_job(spark, path, schema, rules, "ts", "event_type", "value", "user_id")

@@ -126,7 +126,8 @@ def vector_sparsity(spark, sf):
 def hashing_vectors(spark, sf):
     from pyspark.ml.functions import vector_to_array
     h = X.hashing_vectors(_docs(spark, sf))
-    return h.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda v: v != 0)).alias("nnz"))
+    cells = F.filter(F.transform(vector_to_array("features"), lambda v, i: F.struct(i.alias("bucket"), v.alias("count"))), lambda x: x["count"] != 0)
+    return h.select("doc_id", F.explode(cells).alias("c")).select("doc_id", "c.bucket", "c.count")
 
 
 def _ent_sql() -> str:

@@ -129,35 +129,55 @@ def predictions_job(spark: SparkSession, src: str, schema, columns: list[str], o
     return read_table(spark, out)
 
 
-def running_stats_job(spark: SparkSession, src: str, schema, key: str, ts: str, value: str,
-                      name: str = "running") -> DataFrame:
-    """ST5: per-key running mean / std (Welford) kept in streaming state; each row gets its z
-    against the statistics of the rows before it (``applyInPandasWithState``)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def update(k, batches, state):
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        out = []
-        for pdf in batches:
-            pdf = pdf.sort_values(ts)
-            zs = []
-            for x in pdf[value].to_numpy(dtype=float):
-                std = np.sqrt(m2 / (n - 1)) if n > 1 else np.nan
-                zs.append(abs(x - mean) / std if n > 1 and std > 0 else np.nan)
-                n += 1
-                d = x - mean
-                mean += d / n
-                m2 += d * (x - mean)
-            out.append(pd.DataFrame({key: pdf[key].to_numpy(), ts: pdf[ts].to_numpy(), "z": zs}))
-        state.update((n, mean, m2))
-        yield from out
-
-    s = file_stream(spark, src, schema).select(key, ts, value)
-    res = s.groupBy(key).applyInPandasWithState(
-        update, f"{key} long, {ts} timestamp_ntz, z double", "n long, mean double, m2 double", "append",
-        GroupStateTimeout.NoTimeout)
+def running_stats_job(spark: SparkSession, src: str, schema, key: str, ts: str, value: str, tie: str,
+                      name: str = "running_z") -> DataFrame:
+    """ST5: |x - mean| / std of each row against the rows of its key before it (by ``ts``, then ``tie``).
+
+    Each micro-batch is numbered and summed up over ranges (a key with a third of the rows spans several),
+    on top of three sums for each key from the batches before; those are written as one small table for
+    each batch, so a batch that is run again starts from the same sums.
+    """
+    from ..functions.ranking import global_prefix_sums
+    out, ck = scratch(spark, name)
+    x = F.col(value).cast("double")
+
+    def score(batch: DataFrame, batch_id: int):
+        if batch_id:
+            state = spark.read.parquet(f"{out}-state/{batch_id - 1}")
+        else:
+            state = spark.createDataFrame([], f"{key} {dict(batch.dtypes)[key]}, n long, s double, q double")
+        old = state.select(F.col(key).alias("_k"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("q").alias("_q"))
+        rows = batch.select(key, ts, tie, x.alias("_x")).where(F.col("_x").isNotNull())
+        run = global_prefix_sums(rows, [F.col(ts), F.col(tie)], {"n": F.lit(1), "s": F.col("_x"), "q": F.col("_x") * F.col("_x")}, partition_by=[key])
+        run = run.join(old, F.col(key).eqNullSafe(F.col("_k")), "left")
+        n = F.col("n") - 1 + F.coalesce("_n", F.lit(0))
+        s = F.col("s") - F.col("_x") + F.coalesce("_s", F.lit(0.0))
+        q = F.col("q") - F.col("_x") * F.col("_x") + F.coalesce("_q", F.lit(0.0))
+        var = F.when(n > 1, (q - s * s / n) / (n - 1))
+        z = F.when(var > 1e-12, F.abs(F.col("_x") - s / n) / F.sqrt(var))
+        run.select(key, ts, tie, z.alias("z")).withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        new = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"))
+        (state.select(key, "n", "s", "q").unionByName(new).groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
+         .write.mode("overwrite").parquet(f"{out}-state/{batch_id}"))
+
+    q = (file_stream(spark, src, schema).writeStream.foreachBatch(score).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return read_table(spark, out)
+
+
+def alerts_job(spark: SparkSession, src: str, schema, rules: DataFrame, ts: str, metric: str, value: str, entity: str,
+               bucket: str = "hour", watermark: str = "1 day", name: str = "alerts") -> DataFrame:
+    """ST6: alert rules on a metric stream, one alert for each rule, entity and ``bucket`` of event time.
+
+    ``rules`` is (rule_id, metric_name, operator, threshold, severity, enabled). Repeats inside the watermark are
+    dropped by streaming state; rows later than the watermark raise no alert.
+    """
+    from ..operators.monitor import rule_condition
+    s = event_time(file_stream(spark, src, schema), ts).withWatermark(ts, watermark)
+    active = rules.where(F.col("enabled")).select("rule_id", F.col("metric_name").alias("_m"), "operator", "threshold", "severity")
+    hits = (s.join(active, F.col(metric) == F.col("_m")).where(rule_condition(F.col(value), F.col("operator"), F.col("threshold")))
+            .select("rule_id", "severity", entity, F.date_trunc(bucket, ts).alias("bucket"), ts))
+    once = hits.dropDuplicatesWithinWatermark(["rule_id", entity, "bucket"])
     out, ck = scratch(spark, name)
-    run_to_table(res, out, ck)
+    run_to_table(once.select("rule_id", "severity", entity, F.col("bucket").cast("timestamp_ntz").alias("bucket")), out, ck)
     return read_table(spark, out)
