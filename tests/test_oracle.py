@@ -51,7 +51,7 @@ def test_matches_oracle(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_rows_only_runs(spark, name):
+def test_without_oracle_gives_rows(spark, name):
+    """What these rows must satisfy is in test_invariants.py."""
     df = QUERIES[name](spark, SF_SMALL)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+    assert df.count() > 0 and len(df.columns) > 0
