@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textfn import let, words
 
+SALTS = 32  # parts in which the rows of a group are joined with what is known of the group
 WINDOW = 8  # words; a window found twice makes its words repeated
 PRIOR = 50  # words by which rates of short texts are shrunk
 #: Standard deviations added to each statistic, in the order of ``statistics()``.
@@ -124,14 +125,20 @@ def _start(rows: DataFrame, d: int) -> DataFrame:
     return wide.select("grp", F.array(*[F.col(f"q2_{i}") for i in range(d)]).alias("mean"), inverse.alias("inv"))
 
 
+def _salted(per_group: DataFrame) -> DataFrame:
+    return per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _distance(rows: DataFrame, fit: DataFrame, d: int) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance under the group's estimate."""
+    """Adds ``d2``, the squared Mahalanobis distance under the group's estimate.
+
+    Estimates are repeated for each salt, so the rows of a hot group meet theirs in many tasks."""
     z = []
     for i in range(d):
         first = i * (i + 1) // 2
         terms = [F.get("inv", F.lit(first + j)) * (F.get("x", F.lit(j)) - F.get("mean", F.lit(j))) for j in range(i + 1)]
         z.append(sum(terms[1:], terms[0]))
-    return rows.join(fit, "grp").withColumn("z", F.array(*z)).withColumn(
+    return rows.join(_salted(fit), ["grp", "salt"]).withColumn("z", F.array(*z)).withColumn(
         "d2", F.aggregate("z", F.lit(0.0), lambda a, b: a + b * b)).drop("mean", "inv", "z")
 
 
@@ -162,14 +169,14 @@ def chi_square_share(x: float, d: int) -> float:
 
 
 def estimate(rows: DataFrame, scratch: Scratch, d: int, h: float, steps: int) -> DataFrame:
-    """MCD estimates (grp, mean, inv) of rows (grp, x array of d doubles)."""
+    """MCD estimates (grp, mean, inv) of rows (grp, salt, x array of d doubles)."""
     scale = h / chi_square_share(chi_square_quantile(h, d), d + 2)  # the h nearest rows understate the spread
     fit = scratch.keep(_start(rows, d), "fit0")
     for step in range(1, steps + 1):
         near = _distance(rows, fit, d).withColumn("bin", F.round(F.log(F.col("d2") + 1e-6) * BINS).cast("long"))
         cut = _quantiles(near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp"], {"cut": h})
         x = [F.get("x", F.lit(i)) for i in range(d)]
-        moments = near.join(cut, "grp").where("bin <= cut").groupBy("grp").agg(
+        moments = near.join(_salted(cut), ["grp", "salt"]).where("bin <= cut").groupBy("grp").agg(
             *[F.round(F.avg(x[i]), 9).alias(f"m_{i}") for i in range(d)],
             *[F.round(F.covar_pop(x[i], x[j]), 9).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)])
         fit = scratch.keep(_inverse_factor(moments, d, scale), f"fit{step}")
@@ -185,8 +192,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(df.sparkSession, "quality")
     slim = scratch.keep(counts(df, id_col, text_col, lang_col, source_col), "counts")
     x = statistics()
-    good = scratch.keep(_groups(slim.where(~F.col("base_failed")).withColumn("x", F.array(*x)), least), "statistics")
-    fit = estimate(good.select("grp", "x"), scratch, len(x), h, steps)
+    salt = F.pmod(F.xxhash64(F.lit(9), "id", "word_chars"), F.lit(SALTS)).cast("int")
+    good = scratch.keep(_groups(slim.where(~F.col("base_failed")).withColumn("x", F.array(*x)), least).withColumn("salt", salt), "statistics")
+    fit = estimate(good.select("grp", "salt", "x"), scratch, len(x), h, steps)
     judged = _distance(good, fit, len(x)).withColumn("kept", F.col("d2") <= chi_square_quantile(p, len(x)))
     out = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = slim.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"))

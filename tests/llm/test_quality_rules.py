@@ -42,7 +42,7 @@ def test_estimate_against_numpy(spark):
     d = len(Q.FLOORS)
     x = rng.normal(size=(400, d)) * np.array([1, .3, .1, .1, .1, .1, .1]) + 2
     x[:80] += 9  # a fifth are outliers
-    rows = spark.createDataFrame([("g", [float(v) for v in r]) for r in x], "grp string, x array<double>")
+    rows = spark.createDataFrame([("g", i % Q.SALTS, [float(v) for v in r]) for i, r in enumerate(x)], "grp string, salt int, x array<double>")
     fit = Q.estimate(rows, Scratch(spark, "test"), d, 0.75, 4).first()
     bins = np.round(x * Q.BINS)
     q = [[np.sort(bins[:, i])[math.ceil(s * 400) - 1] / Q.BINS for i in range(d)] for s in (.25, .5, .75)]
