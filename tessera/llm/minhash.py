@@ -108,7 +108,7 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) ->
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (u, v) whose full sets are similar enough."""
+    """Those pairs (u, v) whose full sets are similar enough. Nothing is grouped after the joins, so that Spark can split a hot centre."""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -170,7 +170,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     stars = scratch.keep(stars, "stars")
     ids = scratch.keep(members.select(F.col("rep").alias("id")).distinct(), "ids")
     sets = scratch.keep(_sets(df, ids, id_col, text_col, k), "sets")
-    links = scratch.keep(_confirmed(stars, sets, percent).distinct(), "links")
+    links = scratch.keep(_confirmed(stars, sets, percent), "links")
     joined = components(links, scratch)
 
     placed = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
