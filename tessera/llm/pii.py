@@ -7,14 +7,14 @@
    are the sides of a graph whose edges are occurrences. A pattern's confidence is the
    share of all its occurrences in all texts, before whatever word, that are followed by a
    known value, less a margin for few observations; a pattern needs ``support`` distinct
-   known values. An instance's confidence is 1 - prod(1 - c) over its patterns.
+   known values, one of them a seed. An instance's confidence is 1 - prod(1 - c) over its patterns.
 3. ``rounds`` times, patterns are scored by the instances known so far (the seeds at
    first), and instances above ``accept`` become known. Occurrences of the accepted
    instances after confident patterns are reported as kind ``learned``.
 
 Everything is regular expressions, array functions, joins and grouped sums. Hub patterns and
 repeated values are summed up before each shuffle; the occurrences of word pairs in the
-corpus are first filtered by a table of 2**18 hash slots (256 KB whatever the input).
+corpus are first filtered by a table of 2**20 hash slots (1 MB whatever the input).
 
 The expressions are those of the contract, written so that they can't be quadratic or
 recursive on very long runs: starts are tied to the start of a run (or the end of
@@ -41,7 +41,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "token": r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]++",
 }
-TAIL, SLOTS = 80, 1 << 18
+TAIL, SLOTS, PARTS = 80, 1 << 20, 32
 
 
 def luhn(digits: Column) -> Column:
@@ -92,8 +92,8 @@ def occurrences(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
     return hits.select("row", "id"), scratch.keep(spans, "spans")
 
 
-def pattern_totals(df: DataFrame, text_col: str, patterns: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (pattern, total): how often the two words of each pattern stand before any word, in all texts."""
+def _occurring(df: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
+    """Rows (pattern, total): how often the two words of each pattern stand before any word, in all texts of ``df``."""
     taken = patterns.select(F.pmod("pattern", F.lit(SLOTS)).cast("int").alias("slot")).distinct()
     table = bytearray(SLOTS)
     for (slot,) in taken.collect():  # at most SLOTS rows, whatever the input
@@ -101,8 +101,22 @@ def pattern_totals(df: DataFrame, text_col: str, patterns: DataFrame, scratch: S
     listed = lambda h: F.substr(F.lit(table), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray([1]))
     pairs = let(words(F.lower(F.coalesce(F.col(text_col), F.lit("")))), lambda w: F.when(F.size(w) > 2, F.filter(
         F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))), listed)))
-    seen = df.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
-    return scratch.keep(seen.join(patterns, "pattern"), "totals")
+    return df.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+
+
+def pattern_totals(df: DataFrame, text_col: str, patterns: DataFrame, confident: float, scratch: Scratch) -> DataFrame:
+    """Rows (pattern, total) of the patterns that can become confident; ``patterns`` is (pattern, held), with all
+    occurrences in the graph.
+
+    Most patterns are pairs of common words. Even if all its values were known, such a pattern would stand before far more
+    other words; occurrences in a part of the texts prove that, so it is not counted in the rest.
+    """
+    part = df.where(F.pmod(F.xxhash64(F.lit(17), text_col), F.lit(PARTS)) == 0)
+    seen = _occurring(part, text_col, patterns)
+    able = patterns.join(seen, "pattern", "left").where(
+        (F.col("held") - 1) / (F.coalesce("total", F.lit(0)) + 1) >= confident).select("pattern")
+    able = scratch.keep(able, "able")
+    return scratch.keep(_occurring(df, text_col, able).join(able, "pattern"), "totals")
 
 
 def bootstrap(df: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch, rounds: int, support: int,
@@ -115,11 +129,11 @@ def bootstrap(df: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch,
     edges = apart.unionByName(base).where("pattern is not null").withColumn("seed", F.col("kind") != "token")
     edges = edges.drop("kind")
     graph = edges.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    wide = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.max("seed").alias("s")).where(
-        (F.col("values") >= support)).select("pattern")
+    wide = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.max("seed").alias("s"), F.sum("n").alias("held")).where(
+        (F.col("values") >= support) & F.col("s")).select("pattern", "held")
     wide = scratch.keep(wide, "patterns")
-    graph = scratch.keep(graph.join(wide, "pattern"), "graph0")
-    totals = pattern_totals(df, text_col, wide, scratch)
+    graph = scratch.keep(graph.join(wide.select("pattern"), "pattern"), "graph0")
+    totals = pattern_totals(df, text_col, wide, confident, scratch)
     for i in range(1, rounds + 1):
         score = (graph.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("known"))
                  .where(F.col("values") >= support).join(totals, "pattern")
