@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Chunks and pre-tokens that a worker remembers, and rows it turns into one output batch.
-CACHE, ROWS = 200_000, 500
+CACHE, ROWS = 100_000, 200
 BIT = [1 << i for i in range(1 << 12)]
 
 
@@ -217,7 +217,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def _codec(key: str, shared, pattern: str) -> Codec:
-    """One codec in a worker process, for all its tasks over the same vocabulary."""
+    """One codec for the batches of a task."""
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(shared.value, pattern)
@@ -246,6 +246,7 @@ def _mapped(df: DataFrame, source: str, outputs: list[T.StructField], work) -> D
                 columns = [piece.column(c) for c in stay]
                 values = piece.column(piece.schema.get_field_index(name)).to_pylist()
                 yield pa.RecordBatch.from_arrays(columns + work(values), names=[f.name for f in schema.fields])
+        _codecs.clear()  # a worker goes on to other tasks: what it remembers is for one
 
     return frame.select(*[frame[c] for c in stay], *([] if spare else [frame[name]])).mapInArrow(batches, schema)
 
