@@ -7,7 +7,7 @@
    are the sides of a graph whose edges are occurrences. A pattern's confidence is the
    share of all its occurrences in all texts, before whatever word, that are followed by a
    known value, less a margin for few observations; a pattern needs ``support`` distinct
-   known values, one of them a seed. An instance's confidence is 1 - prod(1 - c) over its patterns.
+   known values. An instance's confidence is 1 - prod(1 - c) over its patterns.
 3. ``rounds`` times, patterns are scored by the instances known so far (the seeds at
    first), and instances above ``accept`` become known. Occurrences of the accepted
    instances after confident patterns are reported as kind ``learned``.
@@ -104,7 +104,7 @@ def _occurring(df: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
     return df.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
 
 
-def pattern_totals(df: DataFrame, text_col: str, patterns: DataFrame, confident: float, scratch: Scratch) -> DataFrame:
+def pattern_totals(df: DataFrame, text_col: str, patterns: DataFrame, confident: float, scratch: Scratch, name: str) -> DataFrame:
     """Rows (pattern, total) of the patterns that can become confident; ``patterns`` is (pattern, held), with all
     occurrences in the graph.
 
@@ -115,8 +115,8 @@ def pattern_totals(df: DataFrame, text_col: str, patterns: DataFrame, confident:
     seen = _occurring(part, text_col, patterns)
     able = patterns.join(seen, "pattern", "left").where(
         (F.col("held") - 1) / (F.coalesce("total", F.lit(0)) + 1) >= confident).select("pattern")
-    able = scratch.keep(able, "able")
-    return scratch.keep(_occurring(df, text_col, able).join(able, "pattern"), "totals")
+    able = scratch.keep(able, f"able{name}")
+    return scratch.keep(_occurring(df, text_col, able).join(able, "pattern"), f"totals{name}")
 
 
 def bootstrap(df: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch, rounds: int, support: int,
@@ -129,14 +129,24 @@ def bootstrap(df: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch,
     edges = apart.unionByName(base).where("pattern is not null").withColumn("seed", F.col("kind") != "token")
     edges = edges.drop("kind")
     graph = edges.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    wide = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.max("seed").alias("s"), F.sum("n").alias("held")).where(
-        (F.col("values") >= support) & F.col("s")).select("pattern", "held")
+    wide = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("held")).where(
+        F.col("values") >= support).select("pattern", "held")
     wide = scratch.keep(wide, "patterns")
     graph = scratch.keep(graph.join(wide.select("pattern"), "pattern"), "graph0")
-    totals = pattern_totals(df, text_col, wide, confident, scratch)
+    reached, totals = None, None
     for i in range(1, rounds + 1):
-        score = (graph.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("known"))
-                 .where(F.col("values") >= support).join(totals, "pattern")
+        before, reached = reached, scratch.keep(
+            graph.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("known"))
+            .where(F.col("values") >= support), f"reached{i}")
+        # known values only grow in number: a pattern is counted in the first round in which it has enough of them
+        fresh = reached.join(wide, "pattern").select("pattern", "held")
+        if before is not None:
+            fresh = fresh.join(before, "pattern", "left_anti")
+        fresh = scratch.keep(fresh, f"fresh{i}")
+        if totals is None or not fresh.isEmpty():
+            counted = pattern_totals(df, text_col, fresh, confident, scratch, str(i))
+            totals = counted if totals is None else totals.unionByName(counted)
+        score = (reached.join(totals, "pattern")
                  .select("pattern", ((F.col("known") - 1) / (F.col("total") + 1)).alias("conf")).where(F.col("conf") >= confident))
         score = scratch.keep(score, f"score{i}")
         learned = (graph.join(score, "pattern").groupBy("value")

@@ -61,6 +61,15 @@ def test_context_finds_unseen_identifiers(spark):
     assert all(got[200 + i] == [] for i in range(30))
 
 
+def test_learned_values_induce_patterns_without_a_seed(spark):
+    rows = [(i, f"w{i} please contact desk: user{i}@mail.org today") for i in range(40)]
+    rows += [(100 + i, f"then contact desk: ID-77{i} soon") for i in range(1, 6)]
+    rows += [(200 + i, f"badge no ID-77{i} here") for i in range(1, 6)] + [(300, "badge no ID-999 here"), (301, "room no ID-998 here")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == [("learned", 19, 25)] and got[200 + i] == [("learned", 9, 15)] for i in range(1, 6))
+    assert got[300] == [("learned", 9, 15)] and got[301] == []
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(None, "m a@b.co"), (1, "q 1.1.1.1"), (1, "q 1.1.1.1")], "doc_id long, text string").withColumn("row", F.lit("x"))
     got = sorted((str(r.doc_id), r.spans) for r in span_digests(df).collect())
