@@ -2,7 +2,7 @@
 
 1. One pass over the texts finds e-mail addresses, IP addresses, card and phone numbers
    (the base) and all other tokens with a digit (candidates), each with its place and the
-   two words to its left.
+   two whole words before the word in which it starts.
 2. Those two words are a lexical pattern, the value is an instance; pattern and instance
    are the sides of a graph whose edges are occurrences. A pattern's confidence is the
    share of all its occurrences in all texts, before whatever word, that are followed by a
@@ -41,7 +41,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "token": r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]++",
 }
-TAIL, SLOTS, PARTS = 80, 1 << 20, 32
+SLOTS, PARTS = 1 << 20, 32
+MARK, UNMARK = "\x01", "\x02"  # neither is white space, nor in a class of the base patterns
 
 
 def luhn(digits: Column) -> Column:
@@ -63,31 +64,48 @@ def holds(kind: Column, value: Column) -> Column:
 
 
 def found(text: Column, kind: str) -> Column:
-    """Matches of a kind in order: value, code points since the match before, and the text before it."""
+    """Matches of a kind in order: value, code points since the match before, and the word (counted from 0) in which each starts."""
     expression = F.lit(PATTERNS[kind])
     def build(matches):  # noqa: E306
-        gaps = F.split(text, PATTERNS[kind])
-        return F.when(F.size(matches) > 0, F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(
-            F.lit(kind).alias("kind"), m.alias("value"), F.length(g).alias("gap"), F.right(g, F.lit(TAIL)).alias("left"))))
+        return F.when(F.size(matches) > 0, let(F.slice(F.split(text, PATTERNS[kind]), 1, F.size(matches)), lambda gaps: F.zip_with(
+            matches, F.zip_with(gaps, starts(gaps, matches), lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("word"))),
+            lambda m, x: F.struct(m.alias("value"), x["gap"].alias("gap"), x["word"].alias("word")))))
     return let(F.regexp_extract_all(text, expression, F.lit(0)), build)
 
 
+def starts(gaps: Column, matches: Column) -> Column:
+    """The word in which each match starts: marks are set at the starts, and counted in each word."""
+    plain = lambda c: F.translate(c, MARK, UNMARK)
+    marked = F.array_join(F.zip_with(gaps, matches, lambda g, m: F.concat(plain(g), F.lit(MARK), plain(m))), "")
+    return F.flatten(F.transform(words(marked), lambda w, i: F.array_repeat(
+        i, F.length(w) - F.length(F.translate(w, MARK, "")))))
+
+
+def before(listed: Column, word: Column) -> Column:
+    """Hash of the two words before the one at ``word``."""
+    return F.when(word >= 2, F.xxhash64(F.get(listed, word - 2), F.get(listed, word - 1)))
+
+
 def occurrences(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): one slim row per input row, and one row per match of any kind with its place."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     could = {"email": text.contains("@"), "phone": text.contains("+")}
     kinds = [F.col(f"f_{k}") for k in PATTERNS]
-    hits = df.select(F.col(id_col).alias("id"), *[
+    hits = df.select(F.col(id_col).alias("id"), words(F.lower(text)).alias("words"), *[
         (F.when(could[k], found(text, k)) if k in could else found(text, k)).alias(f"f_{k}") for k in PATTERNS])
-    hits = scratch.keep(hits.select("id", *kinds).withColumn("row", F.monotonically_increasing_id()), "hits")
-    spans = hits.select("row", F.explode(F.concat(*[F.coalesce(F.transform(c, lambda x, j: F.struct(
-        x["kind"].alias("kind"), x["value"].alias("value"), x["gap"].alias("gap"), x["left"].alias("left"), j.alias("j"))),
-        F.array()) for c in kinds])).alias("s")).select("row", "s.*")
+    listed = [F.transform(c, lambda x: F.struct(
+        x["value"].alias("value"), x["gap"].alias("gap"), x["word"].alias("word"), before(F.col("words"), x["word"]).alias("pattern")))
+        .alias(f"f_{k}") for k, c in zip(PATTERNS, kinds)]
+    hits = scratch.keep(hits.select("id", *listed).withColumn("row", F.monotonically_increasing_id()), "hits")
+    def rows_of(kind):  # noqa: E306
+        return F.coalesce(F.transform(F.col(f"f_{kind}"), lambda x, j: F.struct(
+            F.lit(kind).alias("kind"), x["value"].alias("value"), x["gap"].alias("gap"), x["word"].alias("word"),
+            x["pattern"].alias("pattern"), j.alias("j"))), F.array())
+    spans = hits.select("row", F.explode(F.concat(*[rows_of(k) for k in PATTERNS])).alias("s")).select("row", "s.*")
     run = Window.partitionBy("row", "kind").orderBy("j")
     end = F.sum(F.col("gap") + F.length("value")).over(run)
-    pair = let(words(F.lower("left")), lambda w: F.when(F.size(w) >= 2, F.xxhash64(F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1))))
     spans = (spans.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-             .select("row", "kind", "start", "end", F.lower("value").alias("value"), pair.alias("pattern"))
+             .select("row", "kind", "start", "end", F.lower("value").alias("value"), "word", "pattern")
              .where((F.col("kind") == "token") | holds(F.col("kind"), F.col("value"))))
     return hits.select("row", "id"), scratch.keep(spans, "spans")
 
@@ -126,9 +144,11 @@ def bootstrap(df: DataFrame, text_col: str, spans: DataFrame, scratch: Scratch,
     apart = (spans.where("kind = 'token'").alias("t").join(
         base.select("row", F.col("start").alias("s"), F.col("end").alias("e")).alias("b"),
         (F.col("t.row") == F.col("b.row")) & (F.col("t.start") < F.col("e")) & (F.col("s") < F.col("t.end")), "left_anti"))
-    edges = apart.unionByName(base).where("pattern is not null").withColumn("seed", F.col("kind") != "token")
-    edges = edges.drop("kind")
-    graph = edges.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
+    # seeds that start in one word share its occurrence of the pattern: the first one counts it
+    first = F.row_number().over(Window.partitionBy("row", "word").orderBy("start", "kind")) == 1
+    edges = (apart.withColumn("n", F.lit(1)).unionByName(base.where("pattern is not null").withColumn("n", first.cast("int")))
+             .where("pattern is not null").withColumn("seed", F.col("kind") != "token"))
+    graph = edges.groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
     wide = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("held")).where(
         F.col("values") >= support).select("pattern", "held")
     wide = scratch.keep(wide, "patterns")

@@ -8,7 +8,7 @@ import duckdb
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
-from tessera.llm.pii import KINDS, personal_data
+from tessera.llm.pii import KINDS, found, personal_data
 from tessera.llm.q_pii import span_digests
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -70,6 +70,27 @@ def test_learned_values_induce_patterns_without_a_seed(spark):
     assert got[300] == [("learned", 9, 15)] and got[301] == []
 
 
+def test_patterns_are_whole_words(spark):
+    long = "/".join(["x" * 40] * 4)
+    contexts = ["id 4711 desk: pin {}", "reach me via <{}>", f"see ref:{long} for {{}}", "our office tel:{}"]
+    seeds = ["user{}@mail.org", "user{}@mail.org", "user{}@mail.org", "+1 (389) 555-50{}"]
+    rows = [(1000 * k + i, c.format(s.format(10 + i)) + " today") for k, (c, s) in enumerate(zip(contexts, seeds)) for i in range(30)]
+    tried = ["id 4711 desk: pin z9123 q", "reach me via z9124 q", f"see ref:{long} for z9125 q", "our office z9126 q"]
+    rows += [(9000 + k, t) for k, t in enumerate(tried)]
+    rows += [(9100 + i, f"text w{i} v{i} u{i} t") for i in range(9)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(tried):
+        at = t.index("z91")
+        assert got[9000 + k] == [("learned", at, at + 5)], (t, got[9000 + k])
+    assert all(got[9100 + i] == [] for i in range(9))
+
+
+def test_word_of_each_match(spark):
+    text = "\x01 a@b.c,d@e.f  \x01g@h.i\nx <j@k.l>"
+    got = spark.createDataFrame([(text,)], "t string").select(found(F.col("t"), "email").alias("f")).first().f
+    assert [(r.value, r.word) for r in got] == [("a@b.c", 1), ("d@e.f", 1), ("g@h.i", 2), ("j@k.l", 4)]
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(None, "m a@b.co"), (1, "q 1.1.1.1"), (1, "q 1.1.1.1")], "doc_id long, text string").withColumn("row", F.lit("x"))
     got = sorted((str(r.doc_id), r.spans) for r in span_digests(df).collect())
