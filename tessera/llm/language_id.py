@@ -18,8 +18,10 @@ its host. The posterior is proportional to
 One more class, ``und``, has uniform trigrams: a text that fits it better than any
 language is rejected, as is one without a letter or with a posterior below ``sure``.
 
-Languages are the declared values of at least half a percent of the rows (so never more
-than 200). Defined cases: null or blank texts and texts without letters are rejected;
+Languages are the declared values of at least ``least`` rows, whatever their share (or of
+half a percent of the declared rows, where that is less); each takes 32 KB of the table of
+trigrams. A declared value of fewer rows has no text model: on its rows it is one more class,
+whose text fits as well as the best other class, so declaration and host decide. Defined cases: null or blank texts and texts without letters are rejected;
 null declarations, hosts and suffixes give no evidence of their own; repeated rows are
 judged alike; an empty table gives an empty result.
 """
@@ -69,40 +71,40 @@ def page_evidence(pages: DataFrame) -> DataFrame:
                         host_of(F.col("url")).alias("host")).withColumn("suffix", suffix_of(F.col("host")))
 
 
-def fit(rows: DataFrame, sample: int, scratch: Scratch) -> tuple[list[str], np.ndarray]:
+def fit(rows: DataFrame, sample: int, least: int) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities (BUCKETS x languages and und)."""
     sizes = rows.where("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    sizes = {r.declared: r.n for r in sizes.where(F.col("n") * 200 >= total).collect()}
+    sizes = {r.declared: r.n for r in sizes.where((F.col("n") >= least) | (F.col("n") * 200 >= total)).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32)
-    share = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col("declared") == name, F.lit(min(1.0, sample / sizes[name]))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < share * (1 << 20)).select("declared", "text")
+    shares = rows.sparkSession.createDataFrame([(name, min(1.0, sample / sizes[name])) for name in languages], "name string, share double")
+    chosen = rows.join(F.broadcast(shares), F.col("declared") == F.col("name")).where(
+        F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("declared", "text")
+    at = {name: i for i, name in enumerate(languages)}
 
     def counted(batches):
         sums = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[languages.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
+                sums[at[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
         lang, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int64()), pa.array(bucket, pa.int64()), pa.array(sums[lang, bucket], pa.int64())],
                                          names=["lang", "bucket", "n"])
 
     counts = (chosen.mapInArrow(counted, "lang long, bucket long, n long")
-              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect())  # at most 200 * BUCKETS rows
+              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())  # at most BUCKETS rows a language
     table = np.full((len(languages), BUCKETS), 0.5)
-    for r in counts:
-        table[r.lang, r.bucket] += r.n
+    lang, bucket, n = (c.to_numpy() for c in counts.columns)
+    table[lang, bucket] += n
     log = np.log(table / table.sum(axis=1, keepdims=True))
     return languages, np.vstack([log, np.full(BUCKETS, -np.log(BUCKETS))]).T.astype(np.float32)
 
 
 def text_evidence(rows: DataFrame, table: np.ndarray, weight: float) -> DataFrame:
     """Adds ``n_grams`` and ``ll``: the tempered log-likelihood of each class."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)  # BUCKETS x 201 floats at most: 7 MB
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # BUCKETS floats for each class: 32 KB
     kept = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", n_grams long, ll array<double>"
 
@@ -132,7 +134,7 @@ def _softmax(logs: Column) -> Column:
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang",
              host_col: str | None = "source", suffix_col: str | None = None, sample: int = 2000, weight: float = 100.0,
-             trust: float = 20.0, shrink: float = 50.0, sure: float = 0.5) -> DataFrame:
+             trust: float = 20.0, shrink: float = 50.0, sure: float = 0.5, least: int = 20) -> DataFrame:
     """One row per input row: ``id_col, declared, text_language, language, confidence, kept``."""
     scratch = Scratch(df.sparkSession, "language-id")
     text_or_null = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c else F.lit(None).cast("string")
@@ -140,20 +142,23 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
                      text_or_null(host_col).alias("host"), text_or_null(suffix_col).alias("suffix"))
     if host_col and not suffix_col:
         rows = rows.withColumn("suffix", suffix_of(F.col("host")))
-    languages, table = fit(rows, sample, scratch)
-    classes = [*languages, UND]
-    scores = scratch.keep(text_evidence(rows, table, weight), "scores").withColumn("p", _softmax(F.col("ll")))
+    languages, table = fit(rows, sample, least)
+    classes = [*languages, UND, None]  # the last is a declared language without a text model, on rows that declare one
+    modelless = F.col("declared").isNotNull() & ~F.col("declared").isin(languages)
+    scores = scratch.keep(text_evidence(rows, table, weight), "scores").withColumn("ll", F.concat("ll", F.array(
+        F.when(modelless, F.array_max("ll")).otherwise(F.lit(-1e9))))).withColumn("p", _softmax(F.col("ll")))
     p = [F.sum(F.get("p", F.lit(i))) for i in range(len(classes))]
 
     # trust in declarations: P(declared | class), counted over all rows with letters
     told = (scores.where("n_grams > 0").where(F.col("declared").isin(languages)).groupBy("declared")
             .agg(F.array(*p).alias("n")).collect() if languages else [])  # one row for each language
     agree = {r.declared: r.n for r in told}
-    declared_log = F.array(*[F.lit(0.0) for _ in classes])
-    for i, name in enumerate(languages):
-        row = [np.log((agree.get(name, [0.0] * len(classes))[j] + (trust if i == j else 0.1) + 0.1)
-                      / (sum(a[j] for a in agree.values()) + trust + 0.1 * len(classes) + 0.1)) for j in range(len(classes))]
-        declared_log = F.when(F.col("declared") == name, F.array(*[F.lit(float(x)) for x in row])).otherwise(declared_log)
+    def told_log(i):  # noqa: E306
+        told_by = agree.get(classes[i], [0.0] * len(classes))
+        return [float(np.log((told_by[j] + (trust if i == j else 0.1) + 0.1)
+                             / (sum(a[j] for a in agree.values()) + trust + 0.1 * len(classes) + 0.1))) for j in range(len(classes))]
+    tellers = df.sparkSession.createDataFrame([(name, told_log(i)) for i, name in enumerate(languages)], "d string, told array<double>")
+    untold = F.when(modelless, F.array(*[F.lit(x) for x in told_log(len(classes) - 1)])).otherwise(F.array(*[F.lit(0.0) for _ in classes]))
 
     # priors: all rows -> suffix -> host
     hosts = scratch.keep(scores.where("n_grams > 0").groupBy("host", "suffix").agg(F.array(*p).alias("n")), "hosts")
@@ -168,9 +173,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     priors = (hosts.where("host is not null").join(suffixes, F.col("suffix") == F.col("s"), "left")
               .groupBy("host").agg(F.first("above").alias("above"), F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(len(classes))]).alias("n"))
               .select(F.col("host").alias("h"), shrunk(F.col("n"), F.coalesce("above", flat)).alias("prior")))
-    fused = scores.join(priors, F.col("host") == F.col("h"), "left").withColumn("logs", F.zip_with(
-        F.zip_with("ll", declared_log, lambda a, b: a + b), F.coalesce("prior", flat), lambda a, q: a + F.log(q + 1e-9)))
-    named = F.array(*[F.lit(c) for c in classes])
+    fused = scores.join(priors, F.col("host") == F.col("h"), "left").join(
+        F.broadcast(tellers), F.col("declared") == F.col("d"), "left").withColumn("logs", F.zip_with(
+            F.zip_with("ll", F.coalesce("told", untold), lambda a, b: a + b), F.coalesce("prior", flat), lambda a, q: a + F.log(q + 1e-9)))
+    named = F.array(*[F.lit(c) for c in classes[:-1]], F.col("declared"))
     best = lambda probs: F.get(named, (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
     return (fused.withColumn("post", _softmax(F.col("logs")))
             .select(F.col("id").alias(id_col), "declared", F.when(F.col("n_grams") > 0, best(F.col("p"))).alias("text_language"),

@@ -68,3 +68,20 @@ def test_text_alone(spark):
     got = identify(df).join(df.select("doc_id", F.col("lang").alias("truth")), "doc_id")
     assert got.where("text_language = truth").count() >= 0.985 * got.count()
     assert got.where("not kept").count() <= 0.01 * got.count()
+
+
+def test_rare_languages_are_kept(spark):
+    rng = np.random.default_rng(3)
+    def text(first, size):  # noqa: E306
+        vocabulary = ["".join(chr(first + c) for c in rng.integers(0, 24, 6)) for _ in range(40)]
+        return lambda: " ".join(rng.choice(vocabulary, size))
+    latin, greek, georgian, other = text(97, 12), text(0x3B1, 30), text(0x10D0, 30), text(97, 12)
+    rows = [(i, latin(), "en", f"src{i % 3}") for i in range(6000)]
+    rows += [(10000 + i, greek(), "el" if i else None, "src1") for i in range(26)]  # under half a percent, one undeclared
+    rows += [(20000 + i, georgian(), "ka", "src2") for i in range(3)] + [(30000 + i, other(), "mt", "src2") for i in range(3)]
+    rows += [(40000, "xqzj wvkq zzxx qqjx kwvz jxqz " * 20, None, "src1")]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where(
+        "doc_id >= 10000 or doc_id < 100").collect()}
+    want = lambda i: "en" if i < 10000 else "el" if i < 20000 else "ka" if i < 30000 else "mt"
+    assert all(got[i].language == want(i) and got[i].kept for i in got if i < 40000), [got[i] for i in got if got[i].language != want(i)][:5]
+    assert not got[40000].kept
