@@ -7,6 +7,7 @@ of a row key; every estimator is an MLlib ``Pipeline`` fitted on the cluster.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import batched
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -241,29 +242,79 @@ def cosine_topk(items: DataFrame, query: DataFrame, key: str, vec: str, k: int =
                 max_queries: int = 1000) -> DataFrame:
     """Cosine similarity of every item to each query vector, top k per query.
 
-    The query set is small by contract (checked against ``max_queries``): it is read
-    once and inlined as a literal array, so every item computes all its similarities in
-    one expression - no join, no pairs shuffled. Top-k per query is a salted top-k.
+    The query set may have any size: ``max_queries`` vectors at a time are read and sent to the
+    tasks, which go through all items and keep the best k for each query, so no pair is written
+    or shuffled. Top-k per query over the tasks' rows is a salted top-k. A vector that is null, of
+    another length than the query or of norm 0 has similarity null, which ranks last.
     """
     from ..functions.topk import top_k_per_group
-    qs = query.select(key, vec).limit(max_queries + 1).collect()
-    if len(qs) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors; split the query set")
-    qids = [r[0] for r in qs]
-    qvec = F.array(*[F.array(*[F.lit(float(x)) for x in r[1]]) for r in qs])
-    a = F.col(vec)
-
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    na = F.sqrt(dot(a, a))
-    sims = F.transform(qvec, lambda q: dot(a, q) / (na * F.sqrt(dot(q, q))))
-    long = items.select(F.col(key).alias("item_id"), F.posexplode(sims).alias("qi", "similarity"))
-    qmap = F.create_map(*sum([[F.lit(i), F.lit(q)] for i, q in enumerate(qids)], []))
-    long = long.select(qmap[F.col("qi")].alias("query_id"), "item_id", "similarity")
+    blocks = batched(query.select(key, vec).toLocalIterator(), max_queries)
+    id_type = query.schema[key].dataType
+    tops = [_block_topk(items, list(rows), id_type, key, vec, k) for rows in blocks]
+    long = union_all(tops or [_block_topk(items.limit(0), [], id_type, key, vec, k)])
     top = top_k_per_group(long, ["query_id"], [F.desc("similarity"), F.asc("item_id")], k, salt_cols=["item_id"])
     return top.select("query_id", "item_id", rnd("similarity", 4).alias("similarity"), "rank")
 
 
+def _block_topk(items: DataFrame, queries: list, id_type, key: str, vec: str, k: int) -> DataFrame:
+    """Rows (query_id, item_id, similarity): the best k of each task for each of ``queries``."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_type
+    names = pa.array([r[0] for r in queries], to_arrow_type(id_type))
+    sizes = {len(r[1]) for r in queries if r[1] is not None}
+    matrices = []  # of each vector length: numbers of the queries, and their values
+    for size in sorted(sizes):
+        at = [i for i, r in enumerate(queries) if r[1] is not None and len(r[1]) == size]
+        matrices.append((np.array(at), np.array([queries[i][1] for i in at], float).reshape(len(at), size)))
+    shared = items.sparkSession.sparkContext.broadcast(matrices)
+
+    def dot(x, y):  # sums in order, so that equal vectors have equal similarities wherever they are
+        total = np.zeros((len(x), len(y)))
+        for d in range(x.shape[1]):
+            total += x[:, d, None] * y[None, :, d]
+        return total
+
+    def norms(x):
+        return np.sqrt(sum((x[:, d] * x[:, d] for d in range(x.shape[1])), np.zeros(len(x))))
+
+    def similarities(vectors):
+        out = np.full((len(vectors), len(names)), -np.inf)
+        lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        for at, values in shared.value:
+            rows = np.flatnonzero(lengths == values.shape[1])
+            x = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), values.shape[1])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sim = dot(x, values) / (norms(x)[:, None] * norms(values)[None, :])
+            out[np.ix_(rows, at)] = np.where(np.isfinite(sim), sim, -np.inf)
+        return out
+
+    def best(batches):
+        top, kth = None, np.full(len(names), -np.inf)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sim = similarities(part.column(1))
+                row, q = np.nonzero(sim >= kth)
+                new = pa.table({"q": q, "item": part.column(0).take(pa.array(row)), "sim": sim[row, q]})
+                top = new if top is None else pa.concat_tables([top, new])
+                top = top.take(pc.sort_indices(top, sort_keys=[("q", "ascending"), ("sim", "descending"), ("item", "ascending")],
+                                               null_placement="at_start"))
+                q = top.column("q").to_numpy()
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                last = place == k - 1
+                kth[q[last]] = top.column("sim").to_numpy()[last]
+                top = top.filter(pa.array(place < k))
+        if top is not None:
+            sim = top.column("sim").combine_chunks()
+            yield from pa.table({"query_id": names.take(top.column("q").combine_chunks()), "item_id": top.column("item"),
+                                 "similarity": pc.if_else(pc.is_finite(sim), sim, None)}).combine_chunks().to_batches()
+
+    of = items.schema[key].dataType.simpleString()
+    return items.select(key, vec).mapInArrow(best, f"query_id {id_type.simpleString()}, item_id {of}, similarity double")
+
+
 # ---------------------------------------------------------------- scoring and retraining
 def batch_predict(model, df: DataFrame) -> DataFrame:
     """Predictions with confidence = max class probability when the model has probabilities."""

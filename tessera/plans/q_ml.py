@@ -207,6 +207,19 @@ def embedding_topk(spark, sf):
     return M.cosine_topk(e, e.where(F.col("vec_id").isin(0, 1)), "vec_id", "embedding", 10)
 
 
+@query("embedding_topk_all", sql="""
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.query_id, e.vec_id AS item_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), q.qv) /
+             (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(q.qv, q.qv))) AS sim
+      FROM embeddings e, q)
+SELECT query_id, item_id, round(sim, 4) AS similarity, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM s) WHERE rank <= 10""")
+def embedding_topk_all(spark, sf):
+    """The whole query set: each row whose id is divisible by 20."""
+    e = table(spark, sf, "embeddings")
+    return M.cosine_topk(e, e.where(F.col("vec_id") % 20 == 0), "vec_id", "embedding", 10)
+
+
 @query("retrain_prep", sql=cte("lineitem_gaps") + """
 , fr AS (SELECT l_returnflag AS v, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS code
          FROM (SELECT DISTINCT l_returnflag FROM lineitem_gaps WHERE l_returnflag IS NOT NULL)),

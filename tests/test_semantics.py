@@ -152,3 +152,24 @@ def test_parquet_scan_prunes_and_pushes(spark):
     q, _ = load_all()
     plan = q["quality_outliers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,value:double>" in plan
+
+
+def test_cosine_topk_takes_any_number_of_queries(spark):
+    import numpy as np
+
+    from tessera.operators.ml import cosine_topk
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 4))
+    v[100:120] = v[7]  # equal vectors: the lower id is first
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, [0.0] * 4), (302, [1.0])]
+    df = spark.createDataFrame(rows, "id long, e array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 12)
+    for size in (7, 1000):
+        got = {}
+        for r in cosine_topk(df, df.where("id < 60"), "id", "e", 3, max_queries=size).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.item_id)
+        assert got == {q: np.lexsort((np.arange(300), -sims[q]))[:3].tolist() for q in range(60)}
+    assert cosine_topk(df, df.where("id < 0"), "id", "e").count() == 0
+    few = cosine_topk(df.where("id >= 299"), df.where("id = 1"), "id", "e").orderBy("rank").collect()
+    assert [(r.item_id, r.similarity is None) for r in few] == [(299, False), (300, True), (301, True), (302, True)]
