@@ -6,6 +6,7 @@ QUERIES = {
     "op1_exact_dedup": q_dedup.op1_exact_dedup,
     "op2_byte_bpe": q_tokens.op2_byte_bpe,
     "op3_language_id": q_language.op3_language_id,
+    "op3_language_id_pages": q_language.op3_language_id_pages,
     "op4_chat_formatting": q_chat.op4_chat_formatting,
     "op5_minhash_near_dedup": q_dedup.op5_minhash_near_dedup,
     "op6_repeat_removal": q_repeats.op6_repeat_removal,

@@ -85,3 +85,10 @@ def test_rare_languages_are_kept(spark):
     want = lambda i: "en" if i < 10000 else "el" if i < 20000 else "ka" if i < 30000 else "mt"
     assert all(got[i].language == want(i) and got[i].kept for i in got if i < 40000), [got[i] for i in got if got[i].language != want(i)][:5]
     assert not got[40000].kept
+
+
+def test_pages_are_a_registered_query(spark):
+    from tessera.llm.registry import QUERIES
+    got = QUERIES["op3_language_id_pages"](spark, SF)
+    pages = duckdb.sql(f"select count(*) from '{SF}/pages.parquet'").fetchall()[0][0]
+    assert got.count() == pages and got.where("declared is not null and language = declared").count() >= 0.97 * pages
