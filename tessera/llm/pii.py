@@ -14,7 +14,8 @@
 
 Everything is regular expressions, array functions, joins and grouped sums. Hub patterns and
 repeated values are summed up before each shuffle; the occurrences of word pairs in the
-corpus are first filtered by a table of 2**20 hash slots (1 MB whatever the input).
+corpus are first filtered by a table of hash slots, some 16 for each pattern that is to be
+counted and 64 KB at most (it is part of the plan text, which the driver keeps), then joined.
 
 The expressions are those of the contract, written so that they can't be quadratic or
 recursive on very long runs: starts are tied to the start of a run (or the end of
@@ -41,7 +42,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "token": r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]++",
 }
-SLOTS, PARTS = 1 << 20, 32
+SLOTS, PARTS = 1 << 16, 32  # at most; a power of two
 MARK, UNMARK = "\x01", "\x02"  # neither is white space, nor in a class of the base patterns
 
 
@@ -112,14 +113,15 @@ def occurrences(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
 
 def _occurring(df: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
     """Rows (pattern, total): how often the two words of each pattern stand before any word, in all texts of ``df``."""
-    taken = patterns.select(F.pmod("pattern", F.lit(SLOTS)).cast("int").alias("slot")).distinct()
-    table = bytearray(SLOTS)
-    for (slot,) in taken.collect():  # at most SLOTS rows, whatever the input
+    slots = min(SLOTS, 1 << max(10, (16 * patterns.count()).bit_length()))
+    table = bytearray(slots)
+    for (slot,) in patterns.select(F.pmod("pattern", F.lit(slots)).cast("int")).distinct().collect():  # at most SLOTS rows
         table[slot] = 1
-    listed = lambda h: F.substr(F.lit(table), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray([1]))
+    listed = lambda h: F.substr(F.lit(table), F.pmod(h, F.lit(slots)).cast("int") + 1, F.lit(1)) == F.lit(bytearray([1]))
     pairs = let(words(F.lower(F.coalesce(F.col(text_col), F.lit("")))), lambda w: F.when(F.size(w) > 2, F.filter(
         F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))), listed)))
-    return df.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    return df.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(
+        patterns.select("pattern"), "pattern", "left_semi")
 
 
 def pattern_totals(df: DataFrame, text_col: str, patterns: DataFrame, confident: float, scratch: Scratch, name: str) -> DataFrame:
