@@ -10,7 +10,7 @@ of a batch share one queue: the lowest rank of all is the lowest of each that ha
 
 Texts are first cut at every space that is followed by the next chunk; the pattern can
 never match across such a cut, so equal chunks have equal ids and each worker remembers
-those it saw last (``CACHE`` chunks and pre-tokens). Rows are encoded one by
+those it used last (``CACHE`` bytes of chunks and pre-tokens, until other work claims the worker). Rows are encoded one by
 one inside Arrow batches; nothing is gathered, and a lost task is simply run again.
 
 Defined cases: a null text is the empty text and has no ids; texts are whole, of any
@@ -31,8 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Chunks and pre-tokens that a worker remembers, and rows it turns into one output batch.
-CACHE, ROWS = 100_000, 200
+from .worker import claim
+
+#: Bytes (as estimated by ``_Recent``) of chunks, and again of pre-tokens, that a worker remembers, and rows it turns into
+#: one output batch. The texts of a 16 MB Parquet split need some 80 MB of chunks.
+CACHE, ROWS = 88 << 20, 200
 BIT = [1 << i for i in range(1 << 12)]
 
 
@@ -194,30 +197,35 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Recent:
-    """What was added last: at least ``CACHE`` entries, at most about twice as many."""
+    """What was used last: at least ``CACHE`` bytes of entries, at most about twice as many."""
 
     def __init__(self):
-        self.new, self.old = {}, {}
+        self.new, self.old, self.size = {}, {}, 0
 
     def find(self, key: str) -> bytes | None:
         ids = self.new.get(key)
-        if ids is None and (ids := self.old.get(key)) is not None:
-            self.new[key] = ids
+        if ids is None and (ids := self.old.pop(key, None)) is not None:
+            self._keep(key, ids)
         return ids
 
     def add(self, entries: dict[str, bytes]) -> None:
-        if len(self.new) >= CACHE:
-            self.new, self.old = {}, self.new
+        if self.size >= CACHE:
+            self.new, self.old, self.size = {}, self.new, 0
         for key, ids in entries.items():
             if len(key) < 64:
-                self.new[key] = ids
+                self._keep(key, ids)
+
+    def _keep(self, key: str, ids: bytes) -> None:
+        self.new[key] = ids
+        self.size += 190 + len(key) + len(ids)  # both objects and the place in the dictionary
 
 
 _codecs: dict[str, Codec] = {}
 
 
 def _codec(key: str, shared, pattern: str) -> Codec:
-    """One codec for the batches of a task."""
+    """One codec for all tasks of a worker, until it does other work."""
+    claim("bpe", _codecs.clear)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(shared.value, pattern)
@@ -246,7 +254,6 @@ def _mapped(df: DataFrame, source: str, outputs: list[T.StructField], work) -> D
                 columns = [piece.column(c) for c in stay]
                 values = piece.column(piece.schema.get_field_index(name)).to_pylist()
                 yield pa.RecordBatch.from_arrays(columns + work(values), names=[f.name for f in schema.fields])
-        _codecs.clear()  # a worker goes on to other tasks: what it remembers is for one
 
     return frame.select(*[frame[c] for c in stay], *([] if spare else [frame[name]])).mapInArrow(batches, schema)
 
@@ -263,6 +270,19 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     return _mapped(df, text_col, [T.StructField(ids_col, T.BinaryType())], work)
 
 
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text",
+               ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass."""
+    key, shared = _vocabulary(df, ranks, pattern)
+
+    def work(values):
+        codec = _codec(key, shared, pattern)
+        ids = codec.encode(values)
+        return [pa.array(ids, pa.binary()), pa.array([codec.decode(v) for v in ids], pa.binary())]
+
+    return _mapped(df, text_col, [T.StructField(ids_col, T.BinaryType()), T.StructField(bytes_col, T.BinaryType())], work)
+
+
 def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str = "ids",
            bytes_col: str = "decoded") -> DataFrame:
     """Add ``bytes_col`` (binary): the bytes that the ids stand for."""

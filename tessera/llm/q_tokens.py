@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from .bpe import decode, encode, read_ranks
+from .bpe import read_ranks, round_trip
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -11,8 +11,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def token_digests(docs, vocabulary: str = VOCABULARY):
     """Encode, decode, and digest both outputs."""
     ranks = read_ranks(public_tokenizers.path(vocabulary))
-    ids = encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    return decode(ids, ranks, public_tokenizers.PATTERN).select(
+    return round_trip(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
