@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .textfn import free_name
+from .worker import claim
 
 UND = "und"
 BUCKETS = 1 << 13
@@ -109,6 +110,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray, weight: float) -> DataFram
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", n_grams long, ll array<double>"
 
     def scored(batches):
+        claim("language ID")
         log = shared.value
         for batch in batches:
             n, ll = [], []

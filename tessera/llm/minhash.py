@@ -37,9 +37,12 @@ from .components import components
 from .scratch import Scratch
 from .shingles import mix, shingle_sets
 from .textfn import free_name
+from .worker import claim
 
 #: Shingles hashed by all permutations at a time; passes over what may still link two components.
 BLOCK, PRUNINGS = 1 << 14, 2
+#: Texts of an Arrow batch that are Python strings at a time.
+ROWS = 250
 
 
 class MinMax:
@@ -77,16 +80,19 @@ def _features(df: DataFrame, id_col: str, text_col: str, k: int, perms: int, row
     kind = df.schema[id_col].dataType.simpleString()
 
     def work(batches):
+        claim("minhash")
         hasher = MinMax(perms, rows)
         for batch in batches:
-            n, digest, bands = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), k):
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(hasher.bands(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "digest", "bands"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                n, digest, bands = [], [], []
+                for s in shingle_sets(part.column(1).to_pylist(), k):
+                    n.append(len(s))
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    bands.append(hasher.bands(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                     pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "digest", "bands"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, FEATURES.format(id=kind))
 
@@ -96,9 +102,10 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) ->
     kind = df.schema[id_col].dataType.simpleString()
 
     def work(batches):
+        claim("minhash")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                                  names=["id", "shingles"])

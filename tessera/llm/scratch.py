@@ -15,6 +15,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. A local run without one gets a fresh folder;
     a cluster without one is an error, because executors would not see each other's files."""
@@ -37,8 +40,14 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as written and read back. Batches to and from Python hold ``BATCH`` rows meanwhile: whole texts are large."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(BATCH_KEY)
+        self.spark.conf.set(BATCH_KEY, min(int(before), BATCH) if int(before) > 0 else BATCH)
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_KEY, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tidy(self) -> None:
