@@ -189,3 +189,42 @@ def neighbors_2hop_edges(spark, sf):
     n, e = _graph(spark, sf)
     seeds = n.where(F.col("id").isin("s1", "s2"))
     return G.neighbors(n, e, seeds, 2)[1].select("src", "dst", "weight")
+
+
+_KEYS = ["c_nationkey", "o_orderstatus"]
+_NUMERIC_NODES = cte("order_features") + """, nodes AS (
+SELECT 'c_nationkey=' || CAST(c_nationkey AS VARCHAR) AS id, count(*) AS frequency FROM order_features GROUP BY c_nationkey
+UNION ALL SELECT 'o_orderstatus=' || o_orderstatus, count(*) FROM order_features GROUP BY o_orderstatus),
+edges AS (SELECT 'c_nationkey=' || CAST(c_nationkey AS VARCHAR) AS src, 'o_orderstatus=' || o_orderstatus AS dst, count(*) AS weight
+          FROM order_features GROUP BY c_nationkey, o_orderstatus HAVING count(*) >= 2)
+"""
+
+
+@query("entity_degree_numeric", sql=_NUMERIC_NODES + """
+SELECT id, frequency, (SELECT count(*) FROM edges WHERE src = id OR dst = id) AS degree,
+       coalesce((SELECT sum(weight) FROM edges WHERE src = id OR dst = id), 0)::DOUBLE AS weighted_degree FROM nodes""")
+def entity_degree_numeric(spark, sf):
+    """Nodes of an integer key meet their edges: ids are written alike in both tables."""
+    df = derived(spark, sf, "order_features")
+    n, e = G.entity_nodes(df, _KEYS), G.entity_edges(df, _KEYS, 2)
+    return n.select("id", "frequency").join(G.degrees(n, e).select("id", "degree", "weighted_degree"), "id")
+
+
+@query("communities")
+def communities(spark, sf):
+    n, e = _graph(spark, sf)
+    return G.communities(n, e)
+
+
+@query("communities_modularity")
+def communities_modularity(spark, sf):
+    """Modularity of the communities beside that of the connected components."""
+    n, e = _graph(spark, sf)
+    n, e = n.persist(), e.persist()
+    try:
+        found = G.modularity(e, G.communities(n, e), "community").withColumn("partition", F.lit("communities"))
+        whole = G.modularity(e, G.connected_components(n, e)).withColumn("partition", F.lit("components"))
+        return spark.createDataFrame(found.unionByName(whole).toArrow())  # two rows
+    finally:
+        n.unpersist()
+        e.unpersist()
