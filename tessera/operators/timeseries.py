@@ -157,22 +157,27 @@ def rolling(s: DataFrame, window: int, key=None) -> DataFrame:
 def acf(s: DataFrame, nlags: int = 40, key=None) -> DataFrame:
     """TS8: biased autocorrelation r_k = sum (x_t - m)(x_t+k - m) / sum (x_t - m)^2 for k = 0..L,
     L = min(nlags, n // 2 - 1); lagged pairs come from an equi-join on (key, position)."""
+    return autocorrelations(s, nlags, key).select(*_keys(key), "lag", rnd("r", 4).alias("acf"))
+
+
+def autocorrelations(s: DataFrame, nlags: int, key=None) -> DataFrame:
+    """(key.., lag, r), not rounded."""
     keys = _keys(key)
     single = not keys
     if single:  # one series: give it a constant key so every join below stays an equi-join on it
         keys, s = ["_series"], s.withColumn("_series", F.lit(0))
     s = s.where(F.col("value").isNotNull())
     w = Window.partitionBy(*keys)
-    pos = s.select(*keys, (F.row_number().over(w.orderBy("ts")) - 1).alias("i"),
-                   (F.col("value") - F.avg("value").over(w)).alias("d"),
-                   F.least(F.lit(nlags), F.floor(F.count(F.lit(1)).over(w) / 2) - 1).alias("L"))
-    den = pos.groupBy(*keys).agg(F.sum(F.col("d") * F.col("d")).alias("c0"), F.max("L").alias("L"))
-    lagged = pos.select(*keys, "d", "i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("L"), F.lit(0)))).alias("k"))
-    later = pos.select(*keys, F.col("i").alias("j"), F.col("d").alias("d2"))
-    prod = lagged.join(later, [*[lagged[k] == later[k] for k in keys], lagged["i"] + lagged["k"] == later["j"]])
-    num = prod.groupBy(*[lagged[k] for k in keys], "k").agg(F.sum(F.col("d") * F.col("d2")).alias("ck"))
-    out = (num.join(den, keys).where(F.col("k") <= F.col("L"))
-           .select(*keys, F.col("k").alias("lag"), rnd(F.try_divide(F.col("ck"), F.col("c0")), 4).alias("acf")))
+    pos = s.select(*keys, (F.row_number().over(w.orderBy("ts")) - 1).alias("_i"),
+                   (F.col("value") - F.avg("value").over(w)).alias("_d"),
+                   F.least(F.lit(nlags), F.floor(F.count(F.lit(1)).over(w) / 2) - 1).alias("_L"))
+    den = pos.groupBy(*keys).agg(F.sum(F.col("_d") * F.col("_d")).alias("_c0"), F.max("_L").alias("_L"))
+    lagged = pos.select(*keys, "_d", "_i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_L"), F.lit(0)))).alias("_k"))
+    later = pos.select(*keys, F.col("_i").alias("_j"), F.col("_d").alias("_d2"))
+    prod = lagged.join(later, [*[lagged[k] == later[k] for k in keys], lagged["_i"] + lagged["_k"] == later["_j"]])
+    num = prod.groupBy(*[lagged[k] for k in keys], "_k").agg(F.sum(F.col("_d") * F.col("_d2")).alias("_ck"))
+    out = (num.join(den, keys).where(F.col("_k") <= F.col("_L"))
+           .select(*keys, F.col("_k").alias("lag"), F.try_divide(F.col("_ck"), F.col("_c0")).alias("r")))
     return out.drop("_series") if single else out
 
 
