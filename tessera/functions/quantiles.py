@@ -1,18 +1,86 @@
-"""Exact quantiles and modes without a hash map of all values in one task.
+"""Exact quantiles by bracketing, and exact modes.
 
-Values are first counted (map-side combined, so repeats cost one row a task), the counts are summed up
-along the value order over several ranges, and only the order statistics asked for come back: two
-numbers for each column and share.
+A sketch gives two values around each order statistic asked for. One scan counts what lies below the bracket and inside it, which also
+proves where the statistic is; a second one brings back the few distinct values in between. A bracket that still holds many values is
+narrowed by a sketch of its inside first, and one that a sketch got wrong is widened, so the result is exact. Nothing is
+sorted, shuffled by value or written.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_prefix_sums
+#: Rank error of a sketch is 1 / ACCURACY of the rows; brackets with up to FEW values are brought to the driver.
+ACCURACY, FEW = 2000, 10_000
+
+
+@dataclass
+class _Bracket:
+    """The order statistic ``rank`` (from 0) of a column lies between low and high, both excluded; None is open."""
+    name: str
+    rank: int
+    inside: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+    margin: float = 2.0
+    exact: float | None = None
+
+    def holds(self, x: Column) -> Column:
+        at = x.isNotNull()
+        at = at if self.low is None else at & (x > F.lit(self.low))
+        return at if self.high is None else at & (x < F.lit(self.high))
+
+
+def _narrow(df: DataFrame, columns: dict[str, Column], open_: list[_Bracket]) -> None:
+    """A sketch of what is inside each bracket gives tighter borders; a counting scan tells where the order statistic is."""
+    def around(b: _Bracket) -> list[float]:
+        at = (b.rank - b.below) / b.inside
+        return [max(at - 1 / b.inside - b.margin / ACCURACY, 0.0), min(at + 1 / b.inside + b.margin / ACCURACY, 1.0)]
+
+    row = df.agg(*[F.percentile_approx(F.when(b.holds(columns[b.name]), columns[b.name]), around(b), ACCURACY).alias(f"q{i}")
+                   for i, b in enumerate(open_)]).first()
+
+    def counts(i: int, b: _Bracket) -> list[Column]:
+        x, (low, high) = columns[b.name], row[f"q{i}"]
+        return [F.count_if(b.holds(x) & (x < F.lit(low))).alias(f"u{i}"), F.count_if(x == F.lit(low)).alias(f"l{i}"),
+                F.count_if((x > F.lit(low)) & (x < F.lit(high))).alias(f"i{i}")]
+
+    counted = df.agg(*[c for i, b in enumerate(open_) for c in counts(i, b)]).first()
+    for i, b in enumerate(open_):
+        low, high = row[f"q{i}"]
+        under, at_low, inside = b.below + counted[f"u{i}"], counted[f"l{i}"], counted[f"i{i}"]
+        if b.rank < under:  # beyond what the sketch promises
+            b.margin *= 8
+        elif b.rank < under + at_low:
+            b.exact = low
+        elif b.rank < under + at_low + inside:
+            b.low, b.high, b.below, b.inside = low, high, under + at_low, inside
+        elif low == high or b.margin > ACCURACY:
+            b.low, b.below, b.inside = high, under + at_low + inside, b.below + b.inside - under - at_low - inside
+        else:  # it is the upper border, or above it
+            b.low, b.below, b.inside = _just_below(high), under + at_low + inside, b.below + b.inside - under - at_low - inside
+
+
+def _just_below(x: float) -> float:
+    return math.nextafter(x, -math.inf)
+
+
+def _read_off(df: DataFrame, columns: dict[str, Column], few: list[_Bracket]) -> None:
+    """The order statistics of brackets with few values, from the counted distinct values inside."""
+    cells = F.array(*[F.when(b.holds(columns[b.name]), F.struct(F.lit(i).alias("k"), columns[b.name].alias("v"))) for i, b in enumerate(few)])
+    rows = (df.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).groupBy("c.k", "c.v").agg(F.count(F.lit(1)).alias("n")).collect())
+    for i, b in enumerate(few):
+        upto = b.below
+        for r in sorted((r for r in rows if r.k == i), key=lambda r: (r.v != r.v, r.v)):
+            upto += r.n
+            if b.rank < upto:
+                b.exact = r.v
+                break
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float] | None]:
@@ -23,25 +91,25 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[floa
     names = list(columns)
     if not names:
         return {}
-    counts = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), columns[c].cast("double").alias("v"))
-                                            for i, c in enumerate(names)])).alias("p")).select("p.k", "p.v")
-              .where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
-    upto = global_prefix_sums(counts, [F.col("v")], {"upto": F.col("n")}, partition_by=["k"])
-    totals = {r.k: r.n for r in upto.groupBy("k").agg(F.max("upto").alias("n")).collect()}  # one row for each column
-    wanted = {(k, r) for k, n in totals.items() for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}
-    if not wanted:
-        return {c: None for c in names}
-    keys = sorted(wanted)
-    row = upto.agg(*[F.min(F.when((F.col("k") == k) & (F.col("upto") > r), F.col("v"))).alias(f"q{i}")
-                     for i, (k, r) in enumerate(keys)]).first()
-    value = {key: row[f"q{i}"] for i, key in enumerate(keys)}
-
-    def quantile(k: int, share: float) -> float:
-        at = (totals[k] - 1) * share
+    x = {c: columns[c].cast("double") for c in names}
+    counted = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    totals = {c: counted[f"n{i}"] for i, c in enumerate(names)}
+    brackets = {(c, r): _Bracket(c, r, totals[c]) for c in names if totals[c] for s in shares
+                for r in (math.floor((totals[c] - 1) * s), math.ceil((totals[c] - 1) * s))}
+    while waiting := [b for b in brackets.values() if b.exact is None]:
+        few = [b for b in waiting if b.inside <= FEW]
+        if few:
+            _read_off(df, x, few)
+        if len(few) < len(waiting):
+            _narrow(df, x, [b for b in waiting if b.exact is None])
+
+    def quantile(c: str, share: float) -> float:
+        at = (totals[c] - 1) * share
         low, high = math.floor(at), math.ceil(at)
-        return value[k, low] if low == high else (high - at) * value[k, low] + (at - low) * value[k, high]
+        first, last = brackets[c, low].exact, brackets[c, high].exact
+        return first if low == high else (high - at) * first + (at - low) * last
 
-    return {c: [quantile(i, s) for s in shares] if i in totals else None for i, c in enumerate(names)}
+    return {c: [quantile(c, s) for s in shares] if totals[c] else None for c in names}
 
 
 def exact_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
