@@ -65,10 +65,68 @@ def chi2_sf(x: float, dof: int) -> float:
 
 
 # ---------------------------------------------------------------- drift
-def _side(base: DataFrame, cur: DataFrame, column: str, cast: str) -> DataFrame:
-    return (base.select(F.col(column).cast(cast).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-            .unionByName(cur.select(F.col(column).cast(cast).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-            .where(F.col("v").isNotNull()))
+NUMERIC_COUNTS, TEXT_COUNTS = "feature string, v double, n long", "feature string, v string, n long"
+
+
+def feature_counts(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """(feature, v, n): rows of each value of each column as ``kind`` (double or string), nulls left out. Counts of parts add up to those of the whole."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"feature string, v {kind}, n long")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast(kind).alias("v")) for c in columns])
+    return (df.select(F.explode(cells).alias("x")).select("x.*").where(F.col("v").isNotNull())
+            .groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
+    """{column: (count, mean, std with ddof 0)} in one pass."""
+    if not columns:
+        return {}
+    x = [as_double(c) for c in columns]
+    row = df.agg(*[e for i, v in enumerate(x) for e in (F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"))]).first()
+    return {c: (row[f"n{i}"], row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+
+
+def _both(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return (baseline.select("feature", "v", F.col("n").alias("a"), zero.alias("b"))
+            .unionByName(current.select("feature", "v", zero.alias("a"), F.col("n").alias("b")))
+            .groupBy("feature", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+
+
+def ks_from_counts(baseline: DataFrame, current: DataFrame, base: dict, cur: dict, threshold: float = 0.05) -> DataFrame:
+    """O1 from value counts and moments of both sides: all columns in one grouped pass and one pass of running sums."""
+    cols = [c for c in base if base[c][0] >= 2 and cur.get(c, (0,))[0] >= 2]
+    spark = baseline.sparkSession
+    schema = ("feature string, method string, statistic double, p_value double, is_drifted boolean, "
+              "baseline_mean double, baseline_std double, current_mean double, current_std double")
+    if not cols:
+        return spark.createDataFrame([], schema)
+    cum = global_prefix_sums(_both(baseline, current).where(F.col("feature").isin(cols)), [F.col("v").asc()],
+                             {"ca": F.col("a"), "cb": F.col("b")}, partition_by=["feature"])
+    gap = F.lit(None).cast("double")
+    for c in cols:
+        gap = F.when(F.col("feature") == c, F.abs(F.col("ca") / F.lit(float(base[c][0])) - F.col("cb") / F.lit(float(cur[c][0])))).otherwise(gap)
+    found = {r.feature: r.d for r in cum.groupBy("feature").agg(F.max(gap).alias("d")).collect()}  # one row for each column
+    rows = []
+    for c in cols:
+        p = kolmogorov_sf(found[c], base[c][0], cur[c][0])
+        rows.append((c, "ks_test", rh(found[c]), rh(p), p < threshold, rh(base[c][1]), rh(base[c][2]), rh(cur[c][1]), rh(cur[c][2])))
+    return spark.createDataFrame(rows, schema)
+
+
+def chi2_from_counts(baseline: DataFrame, current: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """O2 from value counts: all columns in one grouped pass."""
+    g = _both(baseline, current).withColumn("e", F.when(F.col("a") > 0, F.col("a")).otherwise(1))
+    totals = g.groupBy("feature").agg(F.sum("e").alias("te"), F.sum("b").alias("to"), F.count(F.lit(1)).alias("k"), F.sum("a").alias("n1"))
+    e = F.col("e") * F.col("to") / F.col("te")
+    stats = (g.join(totals.where((F.col("n1") >= 2) & (F.col("to") >= 2)), "feature").groupBy("feature")
+             .agg(F.sum((F.col("b") - e) * (F.col("b") - e) / e).alias("stat"), F.max("k").alias("k")).collect())  # one row for each column
+    rows = []
+    for r in sorted(stats, key=lambda r: r.feature):
+        p = chi2_sf(r.stat, r.k - 1)
+        rows.append((r.feature, "chi_square", rh(r.stat), r.k - 1, rh(p), p < threshold))
+    return baseline.sparkSession.createDataFrame(
+        rows, "feature string, method string, statistic double, dof long, p_value double, is_drifted boolean")
 
 
 def drift_ks(baseline: DataFrame, current: DataFrame, columns: list[str] | None = None,
@@ -81,21 +139,8 @@ def drift_ks(baseline: DataFrame, current: DataFrame, columns: list[str] | None
     cols = columns or numeric_columns(baseline)
     if new_data_null_policy == "any":
         current = current.na.drop(how="any")
-    rows = []
-    for c in cols:
-        g = _side(baseline, current, c, "double").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        st = baseline.agg(F.count(as_double(c)), F.avg(as_double(c)), F.stddev_pop(as_double(c))).first()
-        sc = current.agg(F.count(as_double(c)), F.avg(as_double(c)), F.stddev_pop(as_double(c))).first()
-        n1, n2 = st[0], sc[0]
-        if n1 < 2 or n2 < 2:
-            continue
-        cum = global_prefix_sums(g, [F.col("v").asc()], {"ca": F.col("a"), "cb": F.col("b")})
-        d = cum.agg(F.max(F.abs(F.col("ca") / F.lit(float(n1)) - F.col("cb") / F.lit(float(n2))))).first()[0]
-        p = kolmogorov_sf(d, n1, n2)
-        rows.append((c, "ks_test", rh(d), rh(p), p < threshold, rh(st[1]), rh(st[2]), rh(sc[1]), rh(sc[2])))
-    return baseline.sparkSession.createDataFrame(
-        rows, "feature string, method string, statistic double, p_value double, is_drifted boolean, "
-              "baseline_mean double, baseline_std double, current_mean double, current_std double")
+    return ks_from_counts(feature_counts(baseline, cols, "double"), feature_counts(current, cols, "double"),
+                          moments(baseline, cols), moments(current, cols), threshold)
 
 
 def drift_chi2(baseline: DataFrame, current: DataFrame, columns: list[str] | None = None,
@@ -107,28 +152,17 @@ def drift_chi2(baseline: DataFrame, current: DataFrame, columns: list[str] | Non
     cols = columns or string_columns(baseline)
     if new_data_null_policy == "any":
         current = current.na.drop(how="any")
-    rows = []
-    for c in cols:
-        g = _side(baseline, current, c, "string").groupBy("v").agg(F.sum("a").alias("e"), F.sum("b").alias("o"))
-        tot = g.agg(F.sum(F.when(F.col("e") > 0, F.col("e")).otherwise(1)).alias("te"), F.sum("o").alias("to"),
-                    F.count(F.lit(1)).alias("k"), F.sum("e").alias("n1")).first()
-        if tot["n1"] < 2 or tot["to"] < 2:
-            continue
-        scale = tot["to"] / tot["te"]
-        e = F.when(F.col("e") > 0, F.col("e")).otherwise(1) * F.lit(scale)
-        stat = g.agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e)).first()[0]
-        dof = tot["k"] - 1
-        p = chi2_sf(stat, dof)
-        rows.append((c, "chi_square", rh(stat), dof, rh(p), p < threshold))
-    return baseline.sparkSession.createDataFrame(
-        rows, "feature string, method string, statistic double, dof long, p_value double, is_drifted boolean")
+    return chi2_from_counts(feature_counts(baseline, cols, "string"), feature_counts(current, cols, "string"), threshold)
 
 
 def drift_report(baseline: DataFrame, current: DataFrame, threshold: float = 0.05) -> DataFrame:
     """O3: KS and chi-square rows plus a summary row (drifted count and %)."""
     ks = drift_ks(baseline, current, threshold=threshold).select("feature", "method", "statistic", "p_value", "is_drifted")
     ch = drift_chi2(baseline, current, threshold=threshold).select("feature", "method", "statistic", "p_value", "is_drifted")
-    det = ks.unionByName(ch)
+    return _with_summary(ks.unionByName(ch))
+
+
+def _with_summary(det: DataFrame) -> DataFrame:
     summ = det.agg(F.lit("__summary__").alias("feature"), F.lit("summary").alias("method"),
                    F.count_if("is_drifted").cast("double").alias("statistic"),
                    rnd(F.count_if("is_drifted") * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1)), 1).alias("p_value"),
@@ -136,6 +170,28 @@ def drift_report(baseline: DataFrame, current: DataFrame, threshold: float = 0.0
     return det.unionByName(summ)
 
 
+class DriftBaseline:
+    """Baseline of a drift monitor: value counts of its columns, written once, and their moments."""
+
+    def __init__(self, df: DataFrame, folder: str, numeric: list[str] | None = None, categorical: list[str] | None = None):
+        self.numeric = numeric_columns(df) if numeric is None else numeric
+        self.categorical = string_columns(df) if categorical is None else categorical
+        self.folder, self.spark = folder, df.sparkSession
+        feature_counts(df, self.numeric, "double").write.mode("overwrite").parquet(f"{folder}/numeric")
+        feature_counts(df, self.categorical, "string").write.mode("overwrite").parquet(f"{folder}/text")
+        self.moments = moments(df, self.numeric)
+
+    def report(self, current: DataFrame, threshold: float = 0.05) -> DataFrame:
+        """O3 of ``current`` against the baseline, which is not read again."""
+        current = current.na.drop(how="any")
+        read = self.spark.read
+        ks = ks_from_counts(read.schema(NUMERIC_COUNTS).parquet(f"{self.folder}/numeric"), feature_counts(current, self.numeric, "double"),
+                            self.moments, moments(current, self.numeric), threshold)
+        chi = chi2_from_counts(read.schema(TEXT_COUNTS).parquet(f"{self.folder}/text"), feature_counts(current, self.categorical, "string"), threshold)
+        names = ["feature", "method", "statistic", "p_value", "is_drifted"]
+        return _with_summary(ks.select(*names).unionByName(chi.select(*names)))
+
+
 # ---------------------------------------------------------------- performance
 def perf_degradation(baseline: DataFrame, current: DataFrame, threshold_pct: float = 5.0,
                      higher_is_better: dict[str, bool] | None = None) -> DataFrame:

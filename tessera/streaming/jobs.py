@@ -181,3 +181,43 @@ def alerts_job(spark: SparkSession, src: str, schema, rules: DataFrame, ts: str,
     out, ck = scratch(spark, name)
     run_to_table(once.select("rule_id", "severity", entity, F.col("bucket").cast("timestamp_ntz").alias("bucket")), out, ck)
     return read_table(spark, out)
+
+
+def drift_job(stream: DataFrame, baseline, out: str, checkpoint: str, threshold: float = 0.05) -> None:
+    """ST7: the drift report (O3) of each micro-batch against a ``DriftBaseline``, as a table of reports with the batch's number.
+
+    A batch is one pass for its counts and one for its moments; a batch that is run again overwrites its own report.
+    """
+    def judge(batch: DataFrame, batch_id: int):
+        batch.persist()
+        try:
+            report = baseline.report(batch, threshold)
+            report.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    q = stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def read_batches(spark: SparkSession, out: str, name: str = "batch") -> DataFrame:
+    """All rows of a sink table with the number of their micro-batch."""
+    t = spark.read.option("basePath", out).parquet(f"{out}/_batch=*")
+    return t.withColumn(name, F.col("_batch").cast("long")).drop("_batch")
+
+
+def retrain_job(stream: DataFrame, jobs: list, root: str, checkpoint: str) -> None:
+    """ST8: every micro-batch of an extraction starts a run of each linked job (``retrain.Job``, where enabled).
+
+    A run is named after job and batch, so a batch that is run again finds its finished steps in the ledger and changes nothing. A run that
+    fails is recorded there and holds up neither the other jobs nor the stream.
+    """
+    from ..operators.retrain import run
+
+    def trigger(batch: DataFrame, batch_id: int):
+        for job in jobs:
+            if job.enabled:
+                run(batch, job, f"{job.name}-{batch_id:08d}", root)
+
+    q = stream.writeStream.foreachBatch(trigger).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
