@@ -36,6 +36,9 @@ from .worker import claim
 #: Bytes (as estimated by ``_Recent``) of chunks, and again of pre-tokens, that a worker remembers, and rows it turns into
 #: one output batch. The texts of a 16 MB Parquet split need some 80 MB of chunks.
 CACHE, ROWS = 88 << 20, 200
+#: Code points or bytes a task must have seen for its caches to outlive it: among short tasks Spark keeps spare workers waiting, and
+#: each would hold caches of its own.
+WORTH = 8 << 20
 BIT = [1 << i for i in range(1 << 12)]
 
 
@@ -248,12 +251,16 @@ def _mapped(df: DataFrame, source: str, outputs: list[T.StructField], work) -> D
     schema = T.StructType([f for f in df.schema.fields if f.name in stay] + outputs)
 
     def batches(parts):
+        seen = 0
         for batch in parts:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
                 columns = [piece.column(c) for c in stay]
                 values = piece.column(piece.schema.get_field_index(name)).to_pylist()
+                seen += sum(len(v) for v in values if v)
                 yield pa.RecordBatch.from_arrays(columns + work(values), names=[f.name for f in schema.fields])
+        if seen < WORTH:
+            _codecs.clear()
 
     return frame.select(*[frame[c] for c in stay], *([] if spare else [frame[name]])).mapInArrow(batches, schema)
 
