@@ -200,20 +200,24 @@ def yeo_johnson_fit(df: DataFrame, columns: list[str], lo: float = -2.0, hi: flo
 
     Each round is ONE aggregate evaluating ``grid`` lambdas for every column:
     llf = -n/2 * log(var_pop(yj(x))) + (lambda - 1) * sum(sign(x) * log1p(|x|)).
+    A best value at the edge of the range moves the range on, in that and more rounds, so lo and hi are only where it starts.
     """
     cols = [c for c in columns if c in numeric_columns(df)]
     x = {c: F.coalesce(as_double(c), F.lit(0.0)) for c in cols}
     bounds = {c: (lo, hi) for c in cols}
-    best = {}
+    best, best_of = {}, {c: -math.inf for c in cols}
     base = df.agg(F.count(F.lit(1)).alias("n"),
                   *[F.sum(F.signum(x[c]) * F.log1p(F.abs(x[c]))).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     n = base["n"]
-    for _ in range(rounds):
+    left = {c: rounds for c in cols}
+    while any(left.values()):
         lams = {c: [bounds[c][0] + (bounds[c][1] - bounds[c][0]) * k / (grid - 1) for k in range(grid)] for c in cols}
         exprs = [F.var_pop(yeo_johnson_expr(x[c], lam)).alias(f"v{i}_{k}")
                  for i, c in enumerate(cols) for k, lam in enumerate(lams[c])]
         row = df.agg(*exprs).first()
         for i, c in enumerate(cols):
+            if not left[c]:
+                continue
             scores = []
             for k, lam in enumerate(lams[c]):
                 v = row[f"v{i}_{k}"]
@@ -221,8 +225,14 @@ def yeo_johnson_fit(df: DataFrame, columns: list[str], lo: float = -2.0, hi: flo
                 scores.append((llf, -abs(lam), lam))
             _, _, lam_best = max(scores)
             best[c] = lam_best
-            step = (bounds[c][1] - bounds[c][0]) / (grid - 1)
-            bounds[c] = (lam_best - step, lam_best + step)
+            low, high = bounds[c]
+            step = (high - low) / (grid - 1)
+            at_edge = lam_best in (lams[c][0], lams[c][-1]) and best_of[c] < max(scores)[0] < math.inf
+            best_of[c] = max(best_of[c], max(scores)[0])
+            if at_edge:
+                bounds[c] = (lam_best - (high - low) / 2, lam_best + (high - low) / 2)
+            else:
+                bounds[c], left[c] = (lam_best - step, lam_best + step), max(left[c] - 1, 0)
     return best
 
 

@@ -149,9 +149,18 @@ def quality_dtype_issues(df: DataFrame, parse_share: float = 0.8) -> DataFrame:
 
 
 def quality_constant(df: DataFrame, low_share: float = CONFIG.low_variance) -> DataFrame:
-    """Q11: constant (<= 1 distinct) columns, and near-constant text columns."""
+    """Q11: constant (<= 1 distinct) columns, and near-constant text columns.
+
+    Distinct values are only counted for text; for the others the extremes tell whether there is more than one.
+    """
+    from .profile import long_agg
     text = set(string_columns(df))
-    nd = distinct_counts(df)
+    rest = [c for c in df.columns if c not in text and not df.schema[c].dataType.simpleString().startswith(("array", "map", "struct", "variant"))]
+    odd = [c for c in df.columns if c not in text and c not in rest]
+    nd = distinct_counts(df, [*sorted(text), *odd]) if text or odd else None
+    if rest:
+        ends = long_agg(df, {c: {"n_distinct": F.when(F.count(F.col(c)) == 0, 0).when(F.min(c) == F.max(c), 1).otherwise(2).cast("long")} for c in rest})
+        nd = ends.select("column_name", "n_distinct") if nd is None else nd.unionByName(ends.select("column_name", "n_distinct"))
     total = df.count()
     kinds = F.when(F.col("n_distinct") <= 1, "constant").when(
         F.col("column_name").isin(sorted(text) or [""]) & (F.col("n_distinct") / F.lit(max(total, 1)) < low_share),
@@ -217,12 +226,18 @@ def quality_score(issues: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, target: str | None = None) -> DataFrame:
     """Q15: issues plus a final ``score`` row, one DataFrame."""
-    issues = quality_issues(df, target)
-    score = quality_score(issues).select(
-        F.lit("score").alias("issue_type"), F.lit(None).cast("string").alias("column_name"),
-        F.lit(None).cast("string").alias("severity"), F.col("quality_score").alias("count"),
-        F.lit(None).cast("double").alias("pct"))
-    return issues.unionByName(score)
+    w = (F.when(F.col("severity") == "critical", CONFIG.penalty_critical)
+         .when(F.col("severity") == "warning", CONFIG.penalty_warning).otherwise(CONFIG.penalty_info)).cast("long")
+    names = ["issue_type", "column_name", "severity", "count", "pct"]
+    issues = quality_issues(df, target).select(*names, w.alias("w"))
+    nothing = [F.lit(None).cast(issues.schema[c].dataType).alias(c) for c in names[1:]]
+    score = lambda weight: F.struct(F.lit("score").alias("issue_type"), *nothing, weight.alias("w"))
+    itself = F.struct(*names, F.lit(0).cast("long").alias("w"))
+    # every issue is itself and adds its penalty to the score, so that the checks run once
+    parts = issues.select(F.explode(F.array(itself, score(F.col("w")))).alias("r")).select("r.*").unionByName(
+        df.sparkSession.range(1).select(score(F.lit(0).cast("long")).alias("r")).select("r.*"))
+    final = F.when(F.col("issue_type") == "score", F.greatest(F.lit(0).cast("long"), 100 - F.col("w"))).otherwise(F.col("count"))
+    return parts.groupBy(*names).agg(F.sum("w").alias("w")).select(*names[:3], final.alias("count"), "pct")
 
 
 def missing_overall(df: DataFrame) -> DataFrame:

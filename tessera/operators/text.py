@@ -169,28 +169,14 @@ def tfidf_terms(df: DataFrame, text: str = "text", key: str = "doc_id", ngram_ma
     for n in range(2, ngram_max + 1):
         ng = F.transform(F.sequence(F.lit(0), F.size(toks) - n), gram(n))
         grams = F.concat(grams, F.when(F.size(toks) >= n, ng).otherwise(F.array().cast("array<string>")))
-    terms = docs.select(key, F.explode(_run_lengths(grams)).alias("t")).select(key, "t.term", "t.tf")
+    terms = docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = df.count()
     dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     tfw = (1.0 + F.log(F.col("tf").cast("double"))) if sublinear else F.col("tf").cast("double")
     w = terms.join(dfreq, "term").select(key, "term", "tf", (tfw * idf).alias("w"))
-    # a document's terms meet again once, for their norm
-    per = w.groupBy(key).agg(F.collect_list(F.struct("term", "tf", "w")).alias("ts"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return per.select(key, "nrm", F.explode("ts").alias("t")).select(key, "t.term", "t.tf", (F.col("t.w") / F.col("nrm")).alias("weight"))
-
-
-def _run_lengths(values):
-    """Array of (term, tf): the distinct values of an array of strings and how often each is there,
-    counted inside the row from the sorted array (no exploded counting)."""
-    def starts(s):
-        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
-
-    def runs(s):
-        return F.get(F.transform(F.array(starts(s)), lambda p: F.transform(p, lambda at, j: F.struct(
-            F.get(s, at).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s)) - at).cast("long").alias("tf")))), F.lit(0))
-    # a lambda over an array of one element works the sorted array out once
-    return F.get(F.transform(F.array(F.sort_array(values)), runs), F.lit(0))
+    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
+    return w.join(norms, key).select(key, "term", "tf", (F.col("w") / F.col("nrm")).alias("weight"))
 
 
 def keywords_tfidf(df: DataFrame, text: str = "text", key: str = "doc_id", top_k: int = 20,

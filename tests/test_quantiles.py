@@ -1,4 +1,4 @@
-"""Exact quantiles against numpy, with tiny brackets so that every branch runs."""
+"""Exact quantiles against numpy, with tiny brackets so that every branch runs; the power transform's search leaves its first range."""
 
 import numpy as np
 import pytest
@@ -21,3 +21,14 @@ def test_against_numpy(spark, monkeypatch, few, accuracy):
     assert got["empty"] is None and got["two"] == shares
     for c, v in table.items():
         assert got[c] == pytest.approx(list(np.quantile(v, shares)), rel=1e-12)
+
+
+def test_lambda_beyond_the_first_range(spark):
+    from tessera.operators.encode import yeo_johnson_fit
+    z = np.random.default_rng(0).normal(30, 4, 2000)
+    df = spark.createDataFrame([(float((6 * v + 1) ** (1 / 6) - 1), float(v - 30), 3.0) for v in z], "a double, b double, c double")
+    got = yeo_johnson_fit(df, ["a", "b", "c"])
+    x = np.array([r.a for r in df.collect()])
+    like = lambda lam: -len(x) / 2 * np.log(np.var(((x + 1) ** lam - 1) / lam)) + (lam - 1) * np.log1p(x).sum()
+    best = max(np.arange(2.005, 12, 0.01), key=like)
+    assert got["a"] == pytest.approx(best, abs=0.02) and abs(got["b"] - 1) < 0.2
