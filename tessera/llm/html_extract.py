@@ -93,9 +93,20 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("root", -1, "", False, None)]
     blocks: list[tuple[int, str]] = []
     open_tags: list[tuple[str, int]] = []  # tag, block node it belongs to
+    places: dict[str, list[int]] = {}  # of each tag in open_tags; under "" of those that are not inline
     run: list[str] = []
     run_links = 0
 
+    def push(tag: str, node: int):
+        places.setdefault(tag, []).append(len(open_tags))
+        if tag not in INLINE:
+            places.setdefault("", []).append(len(open_tags))
+        open_tags.append((tag, node))
+
+    def last(tags) -> int:
+        """Place of the innermost open element with one of ``tags``, or -1."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def flush():
         nonlocal run_links
         if run:
@@ -109,14 +120,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         run_links = 0
 
     def close(to: int):
-        if any(tag not in INLINE for tag, _ in open_tags[to:]):
+        if places.get("") and places[""][-1] >= to:
             flush()
-        del open_tags[to:]
+        while len(open_tags) > to:
+            tag, _ = open_tags.pop()
+            places[tag].pop()
+            if tag not in INLINE:
+                places[""].pop()
 
     def text(piece: str):
         nonlocal run_links
         run.append(piece)
-        if any(tag == "a" for tag, _ in open_tags):
+        if places.get("a"):
             run_links += len(piece.strip())
 
     at, end = 0, len(page)
@@ -132,44 +147,33 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not tag:
             continue
         if closing:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and open_tags[k][0] not in INLINE:
-                    break
-            else:
-                if tag == "p":
-                    flush()
+            k = last((tag,))
+            if k >= 0 and not (tag in INLINE and last(("",)) > k):  # an inline end tag does not reach out of its block
+                close(k)
+            elif k < 0 and tag == "p":
+                flush()
             continue
-        if tag in RAW:
+        if tag in RAW:  # without an end tag it goes on to the end of the page
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag in ("svg", "math", "select", "button", "object", "template", "noscript") or stop:
-                at = stop.end() if stop else end
+            at = stop.end() if stop else end
             continue
         if tag == "br":
             text(" ")
             continue
         if tag in VOID:
             if tag == "hr":
-                close(next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == "p"), len(open_tags)))
+                k = last(("p",))
+                close(k if k >= 0 else len(open_tags))
                 flush()
             continue
         if tag in INLINE:
-            open_tags.append((tag, open_tags[-1][1] if open_tags else 0))
+            push(tag, open_tags[-1][1] if open_tags else 0)
             continue
-        if tag in ENDS_P:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == "p":
-                    close(k)
-                    break
-                if open_tags[k][0] in FENCES:
-                    break
-        for k in range(len(open_tags) - 1, -1, -1):
-            if open_tags[k][0] in ENDS.get(tag, ()):
-                close(k)
-            elif k < len(open_tags) and open_tags[k][0] in FENCES:
-                break
+        if tag in ENDS_P and (k := last(("p",))) > last(FENCES):
+            close(k)
+        ended = ENDS.get(tag, ())
+        while ended and (k := last(ended)) > last(FENCES - ended):
+            close(k)
         flush()
         parent = open_tags[-1][1] if open_tags else 0
         hint, body, hidden = _hint(m[3])
@@ -179,7 +183,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             hint = "off"
         nodes.append(Node(tag if tag in KNOWN else "other", parent, hint, tag in ("article", "main") or body, nodes[parent]))
         if not m[3].endswith("/") or tag in KNOWN:
-            open_tags.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
     flush()
     return nodes, blocks
 

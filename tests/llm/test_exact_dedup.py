@@ -35,3 +35,13 @@ def test_null_ids_empty_table_and_rows_that_stay(spark):
     assert exact_dedup(df.limit(0)).count() == 0
     out = drop_exact_copies(df.where("doc_id is not null"))
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [3, 4]
+
+
+def test_executed_plan_merges_sorted_runs(spark):
+    df = spark.createDataFrame([(i, f"t{i % 40}") for i in range(300)], "doc_id long, text string")
+    out = exact_dedup(df, fan_in=2, rounds=4, each=7)
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out.collect()) == sorted(
+        (i, max(j for j in range(300) if j % 40 == i % 40), sum(j % 40 == i % 40 for j in range(300))) for i in range(300))
+    said = out._jdf.queryExecution()
+    assert said.optimizedPlan().toString().count("sort_array(") >= 5  # one for the runs, one for each round of merging
+    assert said.executedPlan().toString().count("functions=[collect_list(") >= 5

@@ -4,12 +4,14 @@ import html
 import itertools
 import math
 import re
+import time
 
 import duckdb
 import pytest
 from conftest import SF_SMALL
 
 from tessera.llm import html_extract as H
+from tessera.llm.html_extract import RAW, parse
 from tessera.llm.q_html import main_texts
 
 SF = SF_SMALL.replace("0.001", "0.01")
@@ -80,3 +82,16 @@ def test_long_deep_and_empty_tables(spark, model):
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in main_texts(df).collect()}
     assert got == {None: (None, "", 0), 3: ("u", "a b", 3)}
     assert main_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", sorted(RAW))
+def test_raw_element_without_end_runs_to_the_end(tag):
+    _, blocks = parse(f"<article><p>Hello there world.</p><{tag}>var a = 1; track();<p>more")
+    assert [t for _, t in blocks] == ["Hello there world."]
+
+
+@pytest.mark.parametrize("piece,nodes", [("<b>", 1), ("<a href=x>", 1), ("<div>", 200_001), ("<p>", 200_001), ("<li><ul>", 400_001)])
+def test_very_deep_pages_take_seconds(piece, nodes):
+    began = time.process_time()
+    found, blocks = parse((piece + "w ") * 200_000)
+    assert len(found) == nodes and len(blocks) in (1, 200_000) and time.process_time() - began < 30
