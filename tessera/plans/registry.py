@@ -31,6 +31,6 @@ def load_all():
     """Import every plan module so that its queries register."""
     from . import (  # noqa: F401
         q_quality, q_clean, q_features, q_encode, q_eval, q_charts, q_monitor, q_recipes,
-        q_timeseries, q_anomaly, q_text, q_graph, q_ml, q_sources, q_streaming, q_more, q_density, q_forecast, q_learned, q_retrain,
+        q_timeseries, q_anomaly, q_text, q_graph, q_ml, q_sources, q_streaming, q_more, q_density, q_forecast, q_learned, q_retrain, q_deliveries,
     )
     return QUERIES, ORACLE

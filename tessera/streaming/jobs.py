@@ -1,7 +1,8 @@
 """Structured Streaming forms of the batch operators.
 
 Every job reads a file source with a fixed schema, keeps its progress in a
-checkpoint folder under the cluster's checkpoint directory (restart = resume,
+checkpoint folder under the cluster's checkpoint directory, or in ``at`` = (table, checkpoint) that a
+schedule passes each time so that a run goes on where the last one stopped (restart = resume,
 exactly-once sink writes per batch id), and writes through ``foreachBatch`` to a
 parquet table. ``trigger(availableNow=True)`` processes everything present and
 stops, which is how a scheduled extraction runs.
@@ -60,19 +61,19 @@ def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
 
 # ---------------------------------------------------------------- jobs
 def extract_job(spark: SparkSession, src: str, schema, columns: list[str], where: str | None = None,
-                name: str = "extract") -> DataFrame:
+                name: str = "extract", at: tuple[str, str] | None = None) -> DataFrame:
     """ST1: incremental extraction (projection + predicate) of newly arrived files."""
     s = file_stream(spark, src, schema)
     if where:
         s = s.where(F.expr(where))
-    out, ck = scratch(spark, name)
+    out, ck = at or scratch(spark, name)
     run_to_table(s.select(*columns), out, ck)
     return read_table(spark, out)
 
 
 def windowed_stats_job(spark: SparkSession, src: str, schema, ts: str, key: str, value: str,
                        window: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes",
-                       name: str = "windows") -> DataFrame:
+                       name: str = "windows", at: tuple[str, str] | None = None) -> DataFrame:
     """ST2: tumbling or sliding event-time windows with a watermark (late rows are dropped)."""
     s = event_time(file_stream(spark, src, schema), ts).withWatermark(ts, watermark)
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
@@ -81,13 +82,13 @@ def windowed_stats_job(spark: SparkSession, src: str, schema, ts: str, key: str,
     agg = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), key, "n",
                      "avg_value", "max_value")
-    out, ck = scratch(spark, name)
+    out, ck = at or scratch(spark, name)
     run_to_table(agg, out, ck, mode="update")
     return read_table(spark, out, ["window_start", "window_end", key])
 
 
 def session_job(spark: SparkSession, src: str, schema, ts: str, key: str, gap: str = "30 minutes",
-                watermark: str = "1 hour", name: str = "sessions") -> DataFrame:
+                watermark: str = "1 hour", name: str = "sessions", at: tuple[str, str] | None = None) -> DataFrame:
     """ST3: session windows per key (a session ends after ``gap`` without events).
 
     The stream emits a session once the watermark has passed its end; the sessions still open when the
@@ -97,7 +98,7 @@ def session_job(spark: SparkSession, src: str, schema, ts: str, key: str, gap: s
     agg = s.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n_events"))
     agg = agg.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"),
                      F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n_events")
-    out, ck = scratch(spark, name)
+    out, ck = at or scratch(spark, name)
     run_to_table(agg, out, ck, mode="append")
     closed = read_table(spark, out)
     last = closed.groupBy(F.col(key).alias("_k")).agg(F.max("session_end").cast("timestamp").alias("_upto"))
@@ -110,13 +111,13 @@ def session_job(spark: SparkSession, src: str, schema, ts: str, key: str, gap: s
 
 
 def zscore_job(spark: SparkSession, src: str, schema, baseline: DataFrame, key: str, value: str,
-               threshold: float = 3.0, name: str = "zscore") -> DataFrame:
+               threshold: float = 3.0, name: str = "zscore", at: tuple[str, str] | None = None) -> DataFrame:
     """ST4: score each arriving row against baseline mean / std (ddof 1) fitted once on static data."""
     m, sd = baseline.agg(F.avg(value), F.stddev_samp(value)).first()
     s = file_stream(spark, src, schema)
     z = F.abs((F.col(value) - F.lit(m)) / F.lit(sd)) if sd else F.lit(None).cast("double")
     scored = s.select(key, value, z.alias("z"), F.coalesce(z > threshold, F.lit(False)).alias("is_anomaly"))
-    out, ck = scratch(spark, name)
+    out, ck = at or scratch(spark, name)
     run_to_table(scored, out, ck)
     return read_table(spark, out)
 
@@ -130,7 +131,7 @@ def predictions_job(spark: SparkSession, src: str, schema, columns: list[str], o
 
 
 def running_stats_job(spark: SparkSession, src: str, schema, key: str, ts: str, value: str, tie: str,
-                      name: str = "running_z") -> DataFrame:
+                      name: str = "running_z", at: tuple[str, str] | None = None) -> DataFrame:
     """ST5: |x - mean| / std of each row against the rows of its key before it (by ``ts``, then ``tie``).
 
     Each micro-batch is numbered and summed up over ranges (a key with a third of the rows spans several),
@@ -138,7 +139,7 @@ def running_stats_job(spark: SparkSession, src: str, schema, key: str, ts: str,
     each batch, so a batch that is run again starts from the same sums.
     """
     from ..functions.ranking import global_prefix_sums
-    out, ck = scratch(spark, name)
+    out, ck = at or scratch(spark, name)
     x = F.col(value).cast("double")
 
     def score(batch: DataFrame, batch_id: int):
@@ -166,7 +167,7 @@ def running_stats_job(spark: SparkSession, src: str, schema, key: str, ts: str,
 
 
 def alerts_job(spark: SparkSession, src: str, schema, rules: DataFrame, ts: str, metric: str, value: str, entity: str,
-               bucket: str = "hour", watermark: str = "1 day", name: str = "alerts") -> DataFrame:
+               bucket: str = "hour", watermark: str = "1 day", name: str = "alerts", at: tuple[str, str] | None = None) -> DataFrame:
     """ST6: alert rules on a metric stream, one alert for each rule, entity and ``bucket`` of event time.
 
     ``rules`` is (rule_id, metric_name, operator, threshold, severity, enabled). Repeats inside the watermark are
@@ -178,7 +179,7 @@ def alerts_job(spark: SparkSession, src: str, schema, rules: DataFrame, ts: str,
     hits = (s.join(active, F.col(metric) == F.col("_m")).where(rule_condition(F.col(value), F.col("operator"), F.col("threshold")))
             .select("rule_id", "severity", entity, F.date_trunc(bucket, ts).alias("bucket"), ts))
     once = hits.dropDuplicatesWithinWatermark(["rule_id", entity, "bucket"])
-    out, ck = scratch(spark, name)
+    out, ck = at or scratch(spark, name)
     run_to_table(once.select("rule_id", "severity", entity, F.col("bucket").cast("timestamp_ntz").alias("bucket")), out, ck)
     return read_table(spark, out)
 
