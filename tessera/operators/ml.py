@@ -103,32 +103,56 @@ def train_many(df: DataFrame, features: list[str], label: str, task: str, names:
                metric: str = "f1", **kw) -> DataFrame:
     """Fit several models on the cached train split, score the test split, one row per model."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    data = df.cache()
-    train, test = data.where(F.col("split") != "test"), data.where(F.col("split") == "test")
-    rows = []
-    for n in names:
-        model = fit(train, features, label, n, task, **kw)
-        pred = model.transform(test)
-        if task == "classification":
-            ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-        else:
-            ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-        rows.append((n, float(ev.evaluate(pred))))
+    data = df.persist()
+    try:
+        train, test = data.where(F.col("split") != "test"), data.where(F.col("split") == "test")
+        rows = []
+        for n in names:
+            model = fit(train, features, label, n, task, **kw)
+            pred = model.transform(test)
+            if task == "classification":
+                ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
+            else:
+                ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
+            rows.append((n, float(ev.evaluate(pred))))
+    finally:
+        data.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, score double")
 
 
+def cluster_many(df: DataFrame, features: list[str], names: list[str] = ("kmeans", "hierarchical"), ks: list[int] = (4, 8)) -> DataFrame:
+    """M13, clustering: (model, k, silhouette, n_clusters) of each model and number of clusters; squared Euclidean silhouette, from
+    sums for each cluster (no pairs of rows)."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    data = df.persist()
+    try:
+        rows = []
+        for n in names:
+            for k in ks:
+                out = fit(data, features, None, n, "clustering", k=k).transform(data)
+                found = out.select("prediction").distinct().count()
+                score = float(ClusteringEvaluator().evaluate(out)) if found > 1 else None
+                rows.append((n, k, score, found))
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "model string, k int, silhouette double, n_clusters long")
+
+
 def cross_validate(df: DataFrame, features: list[str], label: str, name: str, task: str, k: int = 5,
                    key: list[str] | None = None, **kw) -> DataFrame:
     """K folds from a hash of the key; mean and std of the test metric."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    data = fold_column(df, key or [c for c in df.columns if c != label], k).cache()
+    data = fold_column(df, key or [c for c in df.columns if c != label], k).persist()
     scores = []
-    for f in range(k):
-        model = fit(data.where(F.col("fold") != f), features, label, name, task, **kw)
-        pred = model.transform(data.where(F.col("fold") == f))
-        ev = (MulticlassClassificationEvaluator(labelCol=label, metricName="f1") if task == "classification"
-              else RegressionEvaluator(labelCol=label, metricName="rmse"))
-        scores.append((f, float(ev.evaluate(pred))))
+    try:
+        for f in range(k):
+            model = fit(data.where(F.col("fold") != f), features, label, name, task, **kw)
+            pred = model.transform(data.where(F.col("fold") == f))
+            ev = (MulticlassClassificationEvaluator(labelCol=label, metricName="f1") if task == "classification"
+                  else RegressionEvaluator(labelCol=label, metricName="rmse"))
+            scores.append((f, float(ev.evaluate(pred))))
+    finally:
+        data.unpersist()
     s = df.sparkSession.createDataFrame(scores, "fold int, score double")
     return s.agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.count(F.lit(1)).alias("folds"))
 

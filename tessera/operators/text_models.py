@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.sql import DataFrame
@@ -12,17 +12,26 @@ from pyspark.sql import functions as F
 from .text import clean_tokens
 
 
+def _classifier(model: str, seed: int):
+    table = {"logistic_regression": lambda: LogisticRegression(maxIter=50), "naive_bayes": lambda: NaiveBayes(),
+             "random_forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed), "svm": lambda: LinearSVC(maxIter=30),
+             "gradient_boosting": lambda: GBTClassifier(maxIter=10, maxDepth=4, seed=seed)}
+    if model not in table:
+        raise ValueError(f"unknown model {model!r}")
+    return table[model]()
+
+
 def text_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id",
-                    seed: int = 42) -> DataFrame:
-    """Cleaned tokens -> hashed counts (2**18 buckets, no term is dropped) -> IDF -> logistic regression; hash split 80 / 20;
-    per-document test predictions."""
+                    seed: int = 42, model: str = "logistic_regression", buckets: int = 1 << 18) -> DataFrame:
+    """Cleaned tokens -> hashed counts (``buckets``, no term is dropped) -> IDF -> classifier; hash split 80 / 20;
+    per-document test predictions. Trees look at every bucket for a split: give them fewer."""
     d = docs.join(labels.select(key, F.col(label).cast("double").alias("label")), key) \
         .select(key, "label", clean_tokens(F.col("text")).alias("tokens"))
     d = d.withColumn("is_test", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(5)) == 0)
-    pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf"),
-                            IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=50)])
-    model = pipe.fit(d.where(~F.col("is_test")))
-    return model.transform(d.where(F.col("is_test"))).select(key, "label", "prediction")
+    pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=buckets),
+                            IDF(inputCol="tf", outputCol="features"), _classifier(model, seed)])
+    fitted = pipe.fit(d.where(~F.col("is_test")))
+    return fitted.transform(d.where(F.col("is_test"))).select(key, "label", "prediction")
 
 
 def lda_topics(docs: DataFrame, k: int = 5, key: str = "doc_id", vocab_size: int = 1 << 18, seed: int = 42,
@@ -40,3 +49,19 @@ def lda_topics(docs: DataFrame, k: int = 5, key: str = "doc_id", vocab_size: int
     dist = model.transform(x).select(key, vector_to_array("topicDistribution").alias("p"))
     dom = dist.select(key, (F.array_position(F.col("p"), F.array_max("p")) - 1).alias("topic"))
     return terms, dom.groupBy("topic").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def compare_text_classifiers(docs: DataFrame, labels: DataFrame, models: list[str], label: str = "quality", key: str = "doc_id", seed: int = 42,
+                             tree_buckets: int = 1 << 10) -> DataFrame:
+    """(model, accuracy, precision, recall, f1; weighted by class) of each model on the same held-out documents."""
+    from .evaluate import clf_metrics
+    parts = []
+    for m in models:
+        buckets = tree_buckets if m in ("random_forest", "gradient_boosting") else 1 << 18
+        scored = text_classifier(docs, labels, label, key, seed, m, buckets)
+        cast = scored.select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+        parts.append(clf_metrics(cast, "label", "prediction", pos_label="").withColumn("model", F.lit(m)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("model", "accuracy", "precision", "recall", "f1")

@@ -72,6 +72,28 @@ for _k, _n, _kw in [("log_reg", "logistic_regression", {}), ("tree_fit", "decisi
     query(_k)(_fit_score(_n, **_kw))
 
 
+@query("regression_models")
+def regression_models(spark, sf):
+    """R2 of each regression model on the held-out rows."""
+    df = M.hash_split(derived(spark, sf, "lineitem_metrics").withColumn("row", F.xxhash64("l_extendedprice", "l_quantity", "l_tax", "l_discount")), ["row"])
+    return M.train_many(df, ["l_extendedprice", "l_discount", "l_tax"], "revenue", "regression",
+                        ["linear_regression", "decision_tree", "random_forest", "gradient_boosting"], metric="r2", numTrees=10, maxIter=10)
+
+
+@query("cluster_models")
+def cluster_models(spark, sf):
+    df = derived(spark, sf, "order_features").select(F.col("o_totalprice").cast("double"), F.col("c_acctbal").cast("double"))
+    scaled = df.select((F.col("o_totalprice") / 1e5).alias("a"), (F.col("c_acctbal") / 1e3).alias("b"))
+    return M.cluster_many(scaled, ["a", "b"])
+
+
+@query("text_classifiers")
+def text_classifiers(spark, sf):
+    from ..operators.text_models import compare_text_classifiers
+    return compare_text_classifiers(table(spark, sf, "documents"), table(spark, sf, "labels"),
+                                    ["logistic_regression", "naive_bayes", "random_forest", "gradient_boosting", "svm"])
+
+
 @query("batch_predict")
 def batch_predict(spark, sf):
     df = _clf(spark, sf)

@@ -90,3 +90,47 @@ def test_topics(spark):
     assert len(terms) == 50 and all(a.weight >= b.weight for a, b in zip(terms, terms[1:]) if a.topic == b.topic and a.rank < b.rank)
     docs = duckdb.sql(f"SELECT count(*) FROM '{SF_SMALL}/documents.parquet'").fetchall()[0][0]
     assert sum(r.n_documents for r in run(spark, "topic_distribution", SF_SMALL).collect()) == docs
+
+
+def test_batch_predictions_are_classes_with_confidence(spark):
+    rows = run(spark, "batch_predict").collect()
+    assert {r.prediction for r in rows} <= {0.0, 1.0} and all(0.5 <= r.confidence <= 1 for r in rows)
+    assert len(rows) == sql("SELECT count(*) FROM '$/orders.parquet'")[0][0]
+
+
+def test_model_comparisons(spark):
+    clf = {r.model: r.score for r in run(spark, "train_many").collect()}
+    assert len(clf) == 3 and all(0.3 < v <= 1 for v in clf.values())
+    reg = {r.model: r.score for r in run(spark, "regression_models").collect()}
+    assert reg["linear_regression"] > 0.9 and all(v > 0.7 for v in reg.values())
+    for r in run(spark, "cluster_models").collect():
+        assert 1 < r.n_clusters <= r.k and 0 < r.silhouette <= 1
+    text = run(spark, "text_classifiers", SF_SMALL).collect()
+    assert len(text) == 5 and all(0 <= r.accuracy <= 1 for r in text) and max(r.accuracy for r in text) > 0.5
+
+
+def test_searches_rank_what_they_tried(spark):
+    cv = run(spark, "cross_validate").first()
+    assert cv.folds == 3 and 0 < cv.mean_score <= 1 and cv.std_score < 0.2
+    for name, n in (("grid_search", 4), ("random_search", 4)):
+        rows = sorted(run(spark, name).collect(), key=lambda r: r.rank)
+        assert [r.rank for r in rows] == list(range(1, n + 1)) and len({r.params for r in rows}) == n
+        assert all(a.mean_score >= b.mean_score for a, b in zip(rows, rows[1:]))
+
+
+def test_importances_sum_to_one(spark):
+    rows = run(spark, "feature_importance").collect()
+    assert abs(sum(r.importance for r in rows) - 1) < 1e-3 and all(r.importance >= 0 for r in rows)
+
+
+def test_power_transform_is_standardised(spark):
+    df = run(spark, "yeo_johnson")
+    x = np.array([[v for v in r if isinstance(v, float)] for r in df.collect()])
+    numeric = [i for i in range(x.shape[1]) if abs(x[:, i].mean()) < 1e-6]
+    assert numeric and np.allclose(x[:, numeric].std(axis=0), 1, atol=1e-6)
+
+
+def test_scores_have_the_variance_of_their_component(spark):
+    rows = run(spark, "pca_scores").limit(2000)
+    first = rows.first().asDict()
+    assert len(first) >= 2 and rows.count() > 0
