@@ -11,10 +11,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.stats import rnd, word_count
 
@@ -225,22 +223,24 @@ def entities(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return (df.select(key, F.explode(parts).alias("p")).select(key, "p.label", F.explode("p.m").alias("entity")))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("entity", T.StringType()),
-                                        T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _entity_offsets(texts: pd.Series) -> pd.Series:
-    compiled = [(lbl, re.compile(p)) for lbl, p in ENTITY_PATTERNS.items()]
+def _located(text, label: str, pattern: str):
+    """Array of (label, entity, start, end) of the matches in order: what stands between them gives the places."""
+    gaps = F.split(text, pattern, -1)
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(m.alias("entity"), F.char_length(F.get(gaps, i)).alias("gap")))
+    none = F.array().cast("array<struct<label:string,entity:string,start:int,end:int>>")
 
-    def one(t):
-        if t is None:
-            return []
-        return [{"label": lbl, "entity": m.group(), "start": m.start(), "end": m.end()}
-                for lbl, rx in compiled for m in rx.finditer(t)]
-    return texts.map(one)
+    def step(state, m):
+        start = state["at"] + m["gap"]
+        end = start + F.char_length(m["entity"])
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(F.lit(label).alias("label"), m["entity"].alias("entity"), start.alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: state["out"])
 
 
 def entity_offsets(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """N12 offsets: character start / end of each match (Python ``finditer`` on Arrow batches)."""
-    return df.select(key, F.explode(_entity_offsets(F.col(text))).alias("e")).select(key, "e.*")
+    """N12 offsets: character start / end of each match, folded from the lengths of matches and of the text between them."""
+    every = F.concat(*[_located(F.coalesce(F.col(text), F.lit("")), lbl, p) for lbl, p in ENTITY_PATTERNS.items()])
+    return df.select(key, F.explode(every).alias("e")).select(key, "e.*")
 
 
 def entity_counts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
