@@ -26,18 +26,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node either points to one node that points nowhere, or points nowhere: then the components are found."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out = 1 AND into = 1").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """Rows (node, component) for every node with an edge; edges are columns u and v in any order.
 
     The component is its smallest node. Loops, repeats and an empty list are fine.
     """
-    pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs, before, i = scratch.keep(pairs, f"{name}0"), None, 0
-    while True:
-        mark = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.max("u")).first()
-        if mark == before or not mark[0]:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before, i = mark, i + 1
+    pairs, i = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}0"), 0
+    while not _stars(pairs):
+        i += 1
         pairs = scratch.keep(_small_star(_large_star(pairs)), f"{name}{i}")
         scratch.drop(f"{name}{i - 1}")
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -186,7 +186,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     for i in range(1, PRUNINGS + 1):
         rest = scratch.keep(_open(_linkable(rest, sets, percent)), f"open{i}")
     more = scratch.keep(_cross_links(rest, sets, percent), "more_links")
-    joined = scratch.keep(components(links.unionByName(more), scratch, "final"), "components")
+    if not more.isEmpty():  # what is joined already stands for its links
+        joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "final")
+    joined = scratch.keep(joined, "joined")
     scratch.drop("members", "stars", "ids", "sets", "links", "more_links", *[f"open{i}" for i in range(PRUNINGS + 1)])
 
     named = scratch.keep(classes.select("digest", "n", "rep").join(
