@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import rnd, word_count
+from ..session import ensure_checkpoint_dir
+from ..sources.readers import scratch_path
 
 # fixed values: basic English stop words (used when no language resources are installed)
 STOPWORDS = [
@@ -149,41 +153,120 @@ def keywords_freq(df: DataFrame, text: str = "text", top_k: int = 20) -> DataFra
 
 
 # ---------------------------------------------------------------- N7 / N8 / N9
+#: Terms whose document frequencies are sent to the tasks, and the documents that choose them; any choice gives the same weights.
+HOT_TERMS, HOT_DOCS = 200_000, 20_000
+
+
+def _counted(tokens: DataFrame, key: str, ngram_max: int, repeated: bool) -> DataFrame:
+    """(doc, term, tf, what else ``tokens`` has). Terms are counted in their row; only rows of repeated keys are added up by a shuffle."""
+    rest = [f.name for f in tokens.schema.fields if f.name != "_toks"]
+
+    def counted(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                toks = part.column("_toks")
+                row, term = pc.list_parent_indices(toks), toks.flatten()
+                rows, terms = [row], [term]
+                for n in range(2, ngram_max + 1):
+                    last = len(term) - n + 1
+                    if last > 0:
+                        same = pc.equal(row.slice(0, last), row.slice(n - 1))
+                        rows.append(row.slice(0, last).filter(same))
+                        terms.append(pc.binary_join_element_wise(*[term.slice(i, last).filter(same) for i in range(n)], " "))
+                cells = pa.table({"row": pa.chunked_array(rows), "term": pa.chunked_array(terms)}).group_by(["row", "term"]).aggregate([([], "count_all")])
+                at = cells.column("row")
+                yield from pa.table({**{c: part.column(c).take(at.combine_chunks()) for c in rest}, "term": cells.column("term"),
+                                     "tf": cells.column("count_all")}).combine_chunks().to_batches()
+
+    kinds = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in rest)
+    rows = tokens.mapInArrow(counted, f"{kinds}, term string, tf long")
+    return rows.groupBy(*rest, "term").agg(F.sum("tf").alias("tf")) if repeated else rows
+
+
+class _Weights:
+    """TF-IDF of a corpus: tf (1 + ln tf if sublinear) x (ln((1 + n) / (1 + df)) + 1), before the L2 norm.
+
+    Token arrays are written once (Parquet, one row a document); every pass counts its terms anew from them, so no table of term rows is
+    written or moved. Rows of hot terms (frequent in some of the documents) get their exact document frequency from a broadcast
+    table; only those of the other terms are shuffled by term, and counted there. Both together are all terms.
+    """
+
+    def __init__(self, df: DataFrame, text: str, key: str, ngram_max: int, sublinear: bool, hot: int, hot_docs: int):
+        spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        path = scratch_path(spark, "tokens")
+        df.select(key, drop_stopwords(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN2), 0)).alias("_toks")).write.parquet(path)
+        self.tokens = spark.read.parquet(path)
+        self.key, self.ngram_max, self.sublinear, self.n_docs = key, ngram_max, sublinear, self.tokens.count()
+        self.repeated = bool(self.tokens.groupBy(key).count().where("count > 1").limit(1).count())
+        self.terms = _counted(self.tokens, key, ngram_max, self.repeated)
+        share = min(1.0, hot_docs / max(self.n_docs, 1))
+        some = self.tokens if share == 1.0 else self.tokens.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+        named = (_counted(some, key, ngram_max, False).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+                 .orderBy(F.desc("n"), "term").limit(hot).select("term").checkpoint())
+        # at most ``hot`` rows: a bounded broadcast
+        self.hot = self.terms.join(F.broadcast(named), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")).checkpoint()
+
+    def _weighed(self, rows: DataFrame) -> DataFrame:
+        idf = F.log((1.0 + self.n_docs) / (1.0 + F.col("df"))) + 1.0
+        tfw = (1.0 + F.log(F.col("tf").cast("double"))) if self.sublinear else F.col("tf").cast("double")
+        return rows.withColumn("w", tfw * idf)
+
+    def hot_rows(self, terms: DataFrame | None = None) -> DataFrame:
+        return self._weighed((self.terms if terms is None else terms).join(F.broadcast(self.hot), "term"))
+
+    def cold_rows(self) -> DataFrame:
+        cold = self.terms.join(F.broadcast(self.hot.select("term")), "term", "left_anti")
+        return self._weighed(cold.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term"))))  # groups of rare terms
+
+    def norms(self) -> DataFrame:
+        """(doc, nrm, cold_df), materialised; ``cold_df`` is the largest document frequency of the document's terms that are not hot."""
+        squares = self.hot_rows().select(self.key, "w", F.lit(0).cast("long").alias("df")).unionByName(self.cold_rows().select(self.key, "w", "df"))
+        norms = squares.groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"), F.max("df").alias("cold_df"))
+        return norms.where(F.col(self.key).isNotNull()).checkpoint()
+
+    def hot_weights(self, norms: DataFrame) -> DataFrame:
+        """Rows of hot terms with their weight; the norm joins the documents before they are taken apart."""
+        terms = _counted(self.tokens.join(norms.select(self.key, "nrm"), self.key), self.key, self.ngram_max, self.repeated)
+        return self.hot_rows(terms).withColumn("weight", F.col("w") / F.col("nrm"))
+
+    def cold_weights(self, norms: DataFrame, least_df: float = 0.0) -> DataFrame:
+        return self.cold_rows().where(F.col("df") >= F.lit(least_df)).join(norms.select(self.key, "nrm"), self.key).withColumn("weight", F.col("w") / F.col("nrm"))
+
+
 def tfidf_terms(df: DataFrame, text: str = "text", key: str = "doc_id", ngram_max: int = 1,
-                sublinear: bool = True) -> DataFrame:
+                sublinear: bool = True, hot: int = HOT_TERMS, hot_docs: int = HOT_DOCS) -> DataFrame:
     """(doc, term, weight): tf (1 + ln tf if sublinear) x (ln((1 + n) / (1 + df)) + 1), L2-normalised per doc.
 
     Tokens: lower-cased runs of >= 2 Unicode word characters, stop words removed;
     n-grams join consecutive kept tokens with a space.
     """
-    # tokens become a column first: a lambda that referenced the extraction expression
-    # would re-run the regex for every n-gram position
-    docs = df.select(key, drop_stopwords(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))),
-                                                              F.lit(TOKEN2), 0)).alias("_toks"))
-    toks = F.col("_toks")
-    grams = toks
-    def gram(n):
-        return lambda i: F.array_join(F.slice(toks, i + 1, n), " ")
-    for n in range(2, ngram_max + 1):
-        ng = F.transform(F.sequence(F.lit(0), F.size(toks) - n), gram(n))
-        grams = F.concat(grams, F.when(F.size(toks) >= n, ng).otherwise(F.array().cast("array<string>")))
-    terms = docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = df.count()
-    dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    tfw = (1.0 + F.log(F.col("tf").cast("double"))) if sublinear else F.col("tf").cast("double")
-    w = terms.join(dfreq, "term").select(key, "term", "tf", (tfw * idf).alias("w"))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return w.join(norms, key).select(key, "term", "tf", (F.col("w") / F.col("nrm")).alias("weight"))
+    weights = _Weights(df, text, key, ngram_max, sublinear, hot, hot_docs)
+    norms = weights.norms()
+    names = [key, "term", "tf", "weight"]
+    return weights.hot_weights(norms).select(*names).unionByName(weights.cold_weights(norms).select(*names))
 
 
 def keywords_tfidf(df: DataFrame, text: str = "text", key: str = "doc_id", top_k: int = 20,
-                   ngram_max: int = 2) -> DataFrame:
-    """Terms with the highest mean TF-IDF over all documents (1- and 2-grams, sublinear tf)."""
-    n_docs = df.count()
-    t = tfidf_terms(df, text, key, ngram_max, True)
-    return (t.groupBy("term").agg((F.sum("weight") / F.lit(float(n_docs))).alias("score"))
-            .orderBy(F.desc("score"), "term").limit(top_k)
+                   ngram_max: int = 2, hot: int = HOT_TERMS, hot_docs: int = HOT_DOCS) -> DataFrame:
+    """Terms with the highest mean TF-IDF over all documents (1- and 2-grams, sublinear tf).
+
+    A normalised weight is 1 at most, so no term scores above df / n. Scores of hot terms give a floor; terms that are not hot
+    are scored too unless even the most frequent of them stays below it.
+    """
+    weights = _Weights(df, text, key, ngram_max, True, hot, hot_docs)
+    n_docs, norms = weights.n_docs, weights.norms()
+
+    def best(rows):
+        scores = rows.groupBy("term").agg((F.sum("weight") / F.lit(float(n_docs))).alias("score"))
+        return scores.orderBy(F.desc("score"), "term").limit(top_k)
+    top = best(weights.hot_weights(norms)).checkpoint()
+    scored = top.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).first()
+    floor = scored["floor"] * n_docs * (1 - 1e-9) if scored["n"] == top_k and top_k else 0.0
+    if (norms.agg(F.max("cold_df")).first()[0] or 0) >= max(floor, 1):
+        top = top.unionByName(best(weights.cold_weights(norms, floor)))
+    return (top.orderBy(F.desc("score"), "term").limit(top_k)
             .select(F.col("term").alias("keyword"), rnd("score", 6).alias("score")))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import rnd
 from ..session import ensure_checkpoint_dir
-from .text import tfidf_terms
+from .text import HOT_DOCS, HOT_TERMS, _Weights
 
 
 def _solve(products: np.ndarray, gram: np.ndarray, sweeps: int, start: np.ndarray | None = None) -> np.ndarray:
@@ -38,15 +38,17 @@ class Topics:
         self.terms, self.weights, self.residuals = terms, weights, residuals
 
 
-def vectors(df: DataFrame, text: str, key: str, vocabulary: int) -> tuple[DataFrame, list[str]]:
+def vectors(df: DataFrame, text: str, key: str, vocabulary: int, hot: int = HOT_TERMS, hot_docs: int = HOT_DOCS) -> tuple[DataFrame, list[str]]:
     """Rows (key, at, value) of sparse vectors over the ``vocabulary`` terms of most occurrences, and the terms."""
-    weights = tfidf_terms(df, text, key, 1, False)
-    top = weights.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary).select("term").collect()
-    terms = [r.term for r in top]
-    places = df.sparkSession.createDataFrame(list(enumerate(terms)), "at int, term string")
-    listed = weights.join(F.broadcast(places), "term").groupBy(key).agg(F.collect_list(F.struct("at", "weight")).alias("p"))  # at most ``vocabulary`` a row
-    ordered = F.sort_array("p")
-    return listed.select(key, F.transform(ordered, lambda e: e["at"]).alias("at"), F.transform(ordered, lambda e: e["weight"]).alias("value")), terms
+    weights = _Weights(df, text, key, 1, False, hot, hot_docs)
+    counted = weights.terms.where(F.col(key).isNotNull()).groupBy("term").agg(F.sum("tf").alias("n"))
+    terms = [r.term for r in counted.orderBy(F.desc("n"), "term").limit(vocabulary).select("term").collect()]
+    places = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(terms)), "at int, term string"))
+    norms = weights.norms()  # over all terms; only those of the vocabulary go on
+    rows = weights.hot_rows().join(places, "term").unionByName(weights.cold_rows().join(places, "term"))
+    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("p"))  # at most ``vocabulary`` a row
+    scaled = listed.join(norms, key)
+    return scaled.select(key, F.transform("p", lambda e: e["at"]).alias("at"), F.transform("p", lambda e: e["w"] / F.col("nrm")).alias("value")), terms
 
 
 def _dense(batch: pa.RecordBatch, h: np.ndarray):
