@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import encode, forest
 from tessera.operators import text as X
 from tessera.operators import topics
 
@@ -59,3 +60,47 @@ def test_tfidf_moves_no_term_rows(spark):
     tokens = spark.createDataFrame(DOCS, "doc_id long, text string").select("doc_id", F.split("text", " ").alias("_toks"))
     plans = [X._counted(tokens, "doc_id", 2, again)._jdf.queryExecution().executedPlan().toString() for again in (False, True)]
     assert "Exchange" not in plans[0] and plans[1].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("few", [2, 100])
+def test_label_codes_move_no_hot_value(spark, few):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"v{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    code = {v: i for i, v in enumerate(sorted({c for _, c in rows if c is not None}))}
+    out = encode.label_encode(df, ["c"], few=few)
+    assert {(r.id, r.c) for r in out.collect()} == {(i, code.get(c)) for i, c in rows}
+    assert "Broadcast" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forest_scores_follow_each_tree(spark):
+    import numpy as np
+    x = np.random.default_rng(5).normal(size=(200, 3))
+    grown = [forest._grow(x[:64], s, 6) for s in range(4)]
+    level = np.floor(np.log2(np.arange(127) + 1))
+    model = (np.array([g[0] for g in grown]), np.array([g[1] for g in grown]), np.array([level + forest.expected_path(g[2]) for g in grown]), 64, 6)
+    got = forest._score(x, forest._filled(model), 64, 6)
+    for row, score in zip(x, got):
+        total = 0.0
+        for f, t, p in zip(*model[:3]):
+            i = 0
+            while f[i] >= 0:
+                i = 2 * i + 1 + int(row[f[i]] > t[i])
+            total += p[i]
+        assert score == pytest.approx(2 ** (-(total / 4) / float(forest.expected_path(64))))
+
+
+def test_contributions_join_no_scores(spark):
+    """Five joins by id before; an id that comes twice still counts as those joins counted it."""
+    import numpy as np
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, rng.normal(size=2))) for i in range(150)]
+    df = spark.createDataFrame(rows + rows[:20], "id long, a double, b double")
+    std = forest._standardised(df, "id", ["a", "b"])
+    n = std.count()
+    joined = forest._scores(std, forest._forest(std, n, 10, 256, 42), 2, "bigint").withColumnRenamed("score", "all")
+    for i in range(2):
+        one = std.select("id", F.array(F.get("x", F.lit(i))).alias("x"))
+        joined = joined.join(forest._scores(one, forest._forest(one, n, 5, 256, 42), 1, "bigint").withColumnRenamed("score", f"s{i}"), "id")
+    want = joined.agg(F.abs(F.corr("all", "s0")), F.abs(F.corr("all", "s1"))).first()
+    got = forest.feature_contributions(df, "id", ["a", "b"], trees=10).collect()
+    assert [r.contribution for r in got] == pytest.approx(list(want))
