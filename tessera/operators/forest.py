@@ -81,26 +81,46 @@ def _forest(rows: DataFrame, n: int, trees: int, sample: int, seed: int):
             np.array([level + expected_path(r.size) for r in grown]), size, depth)
 
 
-def _scores(rows: DataFrame, forest, d: int, kind: str) -> DataFrame:
-    """(id, score) with score = 2 ** -(mean path / expected path): near 1 for rows that are soon alone."""
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
+def _filled(forest) -> list:
+    """Trees whose leaves hand their path down to all nodes below, so that a row may go on either way to the last level."""
+    out = []
+    for f, t, p in zip(*forest[:3]):
+        p, ended = p.copy(), f < 0
+        for i in range((len(f) - 1) // 2):
+            if ended[i]:
+                ended[[2 * i + 1, 2 * i + 2]], p[[2 * i + 1, 2 * i + 2]] = True, p[i]
+        out.append((np.maximum(f, 0), t, p))
+    return out
+
+
+def _score(x: np.ndarray, trees: list, size: int, depth: int) -> np.ndarray:
+    """2 ** -(mean path / expected path) of each row of ``x``: near 1 for rows that are soon alone."""
+    total, flat, start = np.zeros(len(x)), np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    for f, t, p in trees:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            node = 2 * node + 1 + (flat[start + f[node]] > t[node])
+        total += p[node]
+    return 2.0 ** (-(total / max(len(trees), 1)) / max(float(expected_path(size)), 1e-9))
+
+
+def _scores_side_by_side(rows: DataFrame, forests: list, d: int, kind: str) -> DataFrame:
+    """(id, scores): the score by each of ``forests``, which are (columns of x it reads, forest)."""
+    shared = rows.sparkSession.sparkContext.broadcast(forests)
 
     def scored(batches):
-        feature, threshold, path, size, depth = shared.value
+        filled = [(at, _filled(forest), *forest[3:]) for at, forest in shared.value]
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, d)
-            total, at_row = np.zeros(len(x)), np.arange(len(x))
-            for f, t, p in zip(feature, threshold, path):
-                node = np.zeros(len(x), np.int64)
-                for _ in range(depth):
-                    go = f[node] >= 0
-                    right = x[at_row, np.maximum(f[node], 0)] > t[node]
-                    node = np.where(go, 2 * node + 1 + right, node)
-                total += p[node]
-            mean = total / max(len(feature), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(2.0 ** (-mean / max(float(expected_path(size)), 1e-9)))], names=["id", "score"])
+            values = np.column_stack([_score(x[:, at], *forest) for at, *forest in filled])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(values), pa.list_(pa.float64()))], names=["id", "scores"])
+
+    return rows.mapInArrow(scored, f"id {kind}, scores array<double>")
 
-    return rows.mapInArrow(scored, f"id {kind}, score double")
+
+def _scores(rows: DataFrame, forest, d: int, kind: str) -> DataFrame:
+    """(id, score) of one forest on all columns."""
+    return _scores_side_by_side(rows, [(list(range(d)), forest)], d, kind).select("id", F.get("scores", F.lit(0)).alias("score"))
 
 
 def isolation_forest(df: DataFrame, id_col: str, columns: list[str], contamination: float = 0.05, trees: int = 100, sample: int = 256,
@@ -123,9 +143,22 @@ def feature_contributions(df: DataFrame, id_col: str, columns: list[str], trees:
     kind = df.schema[id_col].dataType.simpleString()
     if not n:
         return df.sparkSession.createDataFrame([(c, None) for c in columns], "column_name string, contribution double")
-    joined = _scores(rows, _forest(rows, n, trees, sample, seed), len(columns), kind).withColumnRenamed("score", "all")
+    forests = [(list(range(len(columns))), _forest(rows, n, trees, sample, seed))]
     for i in range(len(columns)):
         single = rows.select("id", F.array(F.get("x", F.lit(i))).alias("x"))
-        joined = joined.join(_scores(single, _forest(single, n, max(trees // 2, 1), sample, seed), 1, kind).withColumnRenamed("score", f"s{i}"), "id")
-    r = joined.agg(*[F.abs(F.corr("all", f"s{i}")).alias(f"c{i}") for i in range(len(columns))]).first()
+        forests.append(([i], _forest(single, n, max(trees // 2, 1), sample, seed)))
+    d = len(columns)
+    # one pass, all scores of a row together: nothing is joined
+    scores = _scores_side_by_side(rows, forests, d, kind).where(F.col("id").isNotNull()).select("id", *[F.get("scores", F.lit(i)).alias(f"s{i}") for i in range(d + 1)])
+    if rows.groupBy("id").count().where("id IS NOT NULL AND count > 1").limit(1).count():
+        # scores meet by id: each of an id's m scores by one forest with each of its scores by the others
+        m = F.col("m").cast("double")
+        ids = scores.groupBy("id").agg(F.count(F.lit(1)).alias("m"), *[e for i in range(d + 1) for e in (F.sum(f"s{i}").alias(f"t{i}"), F.sum(F.col(f"s{i}") ** 2).alias(f"q{i}"))])
+        t = ids.agg(F.sum(m ** (d + 1)).alias("n"), *[e for i in range(d + 1) for e in (
+            F.sum(m ** d * F.col(f"t{i}")).alias(f"x{i}"), F.sum(m ** d * F.col(f"q{i}")).alias(f"xx{i}"), F.sum(m ** (d - 1) * F.col("t0") * F.col(f"t{i}")).alias(f"xy{i}"))]).first()
+        spread = [max(t[f"xx{i}"] - t[f"x{i}"] ** 2 / t["n"], 0.0) for i in range(d + 1)]
+        both = [math.sqrt(spread[0] * s) for s in spread[1:]]
+        found = [abs(t[f"xy{i + 1}"] - t["x0"] * t[f"x{i + 1}"] / t["n"]) / w if w else None for i, w in enumerate(both)]
+        return df.sparkSession.createDataFrame(list(zip(columns, found)), "column_name string, contribution double")
+    r = scores.agg(*[F.abs(F.corr("s0", f"s{i + 1}")).alias(f"c{i}") for i in range(d)]).first()
     return df.sparkSession.createDataFrame([(c, r[f"c{i}"]) for i, c in enumerate(columns)], "column_name string, contribution double")
