@@ -309,5 +309,5 @@ def lda_topics(spark, sf):
 
 @query("topic_distribution")
 def topic_distribution(spark, sf):
-    from ..operators.text_models import lda_topics as lda
-    return lda(table(spark, sf, "documents"), k=5)[1]
+    from ..operators.text_models import topic_distribution as distribution
+    return distribution(table(spark, sf, "documents"), k=5)
